@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import simhash
+from siftline.llm import ngram_lm, perplexity_rules, simhash, suffix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_rules.kept(_t(spark, sf_dir, "documents"))
+
+
+def op6_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.perplexity(_t(spark, sf_dir, "documents"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(_t(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_perplexity_bands": op5_perplexity_bands,
+    "op6_lm_perplexity": op6_lm_perplexity,
+    "op7_repeated_passages": op7_repeated_passages,
     "op10_simhash_near_dups": op10_simhash_near_dups,
 }
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm import kernels as K
+from siftline.llm.identity import KEY, TH, identified, keyed
 from siftline.plans.components import connected_components
 from siftline.plans.scratch import cut
 
@@ -68,12 +69,6 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), data], names=["id", "th", "fp"])
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, text); th tells rows of one id but different texts apart."""
-    t = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, fp BINARY(16)); fp is null for null and empty texts."""
     return identified(docs, id_col, text_col).mapInArrow(_fingerprints, "id long, th long, fp binary")
@@ -284,10 +279,6 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each group; rows repeated in full are one."""
-    gone = groups(docs, id_col, text_col, **how).where("not (id <=> keep_id and th = keep_th)").select("id", "th")
-    t = F.col(f"`{text_col}`").cast("string")
-    key, hashed = "__siftline_id", "__siftline_th"
-    left = docs.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(hashed, F.xxhash64(t))
-    gone = gone.select(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th"))
-    kept = left.join(gone, F.col(key).eqNullSafe(F.col("__gone_id")) & (F.col(hashed) == F.col("__gone_th")), "left_anti")
-    return kept.dropDuplicates([key, hashed]).drop(key, hashed)
+    gone = groups(docs, id_col, text_col, **how).where("not (id <=> keep_id and th = keep_th)")
+    gone = gone.select(F.coalesce("id", F.lit(0)).alias(KEY), F.col("th").alias(TH))
+    return keyed(docs, id_col, text_col).join(gone, [KEY, TH], "left_anti").dropDuplicates([KEY, TH]).drop(KEY, TH)
