@@ -9,6 +9,7 @@ driver, so a lost executor never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -70,3 +71,9 @@ def drop(df: DataFrame) -> None:
     if path:
         fs, p = _fs(df.sparkSession, path)
         fs.delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan needs, now instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
