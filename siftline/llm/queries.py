@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import ngram_lm, perplexity_rules, simhash, suffix
+from siftline.llm import mixing, ngram_lm, packing, perplexity_rules, rule_ensemble, simhash, suffix, topk, toxicity, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_t(spark, sf_dir, "documents"))
+
+
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_t(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_t(spark, sf_dir, "documents"))
+
+
+def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.passages(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op5_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_rules.kept(_t(spark, sf_dir, "documents"))
 
@@ -23,15 +40,33 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(_t(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.dedup_pages(_t(spark, sf_dir, "pages"))
+
+
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.qualities(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op5_perplexity_bands": op5_perplexity_bands,
-    "op6_lm_perplexity": op6_lm_perplexity,
-    "op7_repeated_passages": op7_repeated_passages,
-    "op10_simhash_near_dups": op10_simhash_near_dups,
+    f.__name__: f
+    for f in (
+        op1_nnls_packing,
+        op2_threshold_topk,
+        op3_poisson_mixing,
+        op4_toxic_passages,
+        op5_perplexity_bands,
+        op6_lm_perplexity,
+        op7_repeated_passages,
+        op8_warc_revisits,
+        op9_rule_quality,
+        op10_simhash_near_dups,
+    )
 }
 
-SQL: dict[str, str] = {}
+#: DuckDB SQL of the operators that SQL can express; the others are tested against brute force.
+SQL = {"op2_threshold_topk": topk.SQL, "op3_poisson_mixing": mixing.SQL, "op8_warc_revisits": warc.SQL}

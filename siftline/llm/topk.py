@@ -50,7 +50,7 @@ def _build(folder: str):
     """A partition's vectors → shard files, one row (shard, n, box) each."""
 
     def flush(part: int, k: int, rows: pd.DataFrame):
-        ids = rows["id"].to_numpy(dtype="float64", na_value=np.nan) if False else np.array([_NULL if v is None or v != v else int(v) for v in rows["id"].astype(object)], np.int64)
+        ids = np.array([_NULL if v is None or v != v else int(v) for v in rows["id"].astype(object)], np.int64)
         x = np.stack(rows["v"].to_numpy()).astype(np.float64)
         order = np.lexsort((*x.T[::-1], ids))
         ids, x = ids[order], x[order]
@@ -118,7 +118,7 @@ def search_shard(q: np.ndarray, top: _Top, ids: np.ndarray, x: np.ndarray, lists
     bound = np.maximum(qr, 0) @ down + np.minimum(qr, 0) @ up
     over = np.floor((bound + 1e-11) * _DIGITS) >= top.kth()[rows][:, None]
     depth = np.where(over.all(1), len(grid), over.argmin(1))  # grid step at which the bound is below the k-th score
-    reach = np.r_[grid, n - 1][np.minimum(depth, len(grid))]
+    reach = np.r_[grid, n][depth]
     deep = reach * d >= n
     alone = np.arange(n)
     for r, t in zip(rows[(depth > 0) & ~deep], reach[(depth > 0) & ~deep]):
