@@ -1,30 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread."""
+"""The corpus pipeline: stages over ``documents``, each written and reread.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of ``documents``; ``n_chars`` follows the
+text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm import mixing, packing, rule_ensemble, simhash, suffix
+from siftline.plans.scratch import cut, drop
+
 
-from siftline.llm import simhash
-from siftline.plans.scratch import cut
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return rule_ensemble.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
     return simhash.dedup(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every repeated passage but its first occurrence goes."""
+    out = suffix.dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to their source's target weight and shuffled."""
+    return mixing.mix(docs, copy_col=None)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training windows."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("simhash near-dedup", near_dedup),
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("mixing to target weights", mix),
+    ("packing", pack),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
 
 
-#: The classifier's fit and the near-copy search have no SQL.
+#: The classifier's fit, the near-copy search and the packing plan have no SQL; tests compare run() with brute force.
 ORACLE_SQL = None
