@@ -53,11 +53,12 @@ def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
-    """Lawson and Hanson's active-set solution of min |ax - b|, x ≥ 0."""
+    """Lawson and Hanson's active-set solution of min |ax - b|, x ≥ 0, on the normal equations."""
     n = a.shape[1]
+    gram, rhs = a.T @ a, a.T @ b
     x, passive = np.zeros(n), np.zeros(n, bool)
     for _ in range(3 * n):
-        gain = a.T @ (b - a @ x)
+        gain = rhs - gram[:, passive] @ x[passive]
         gain[passive] = -np.inf
         j = int(gain.argmax())
         if gain[j] <= tol:
@@ -65,7 +66,10 @@ def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            try:
+                z = np.linalg.solve(gram[np.ix_(at, at)], rhs[at])
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
             if (z > tol).all():
                 x[:] = 0
                 x[at] = z

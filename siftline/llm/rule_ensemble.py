@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TREES, LEVELS, LASSO, THRESHOLD, SEED = 8000, 40, 3, 0.002, 0.5, 5
+SAMPLE, TREES, LEVELS, LASSO, THRESHOLD, SEED = 8000, 30, 3, 0.003, 0.5, 5
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -161,30 +161,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return learn(t[list(stats)].to_numpy(np.float64), t["y"].to_numpy(np.float64), list(stats), **how)
 
 
-_P = "__siftline_"
+_STATS = "__siftline_stats"
 
 
-def scored(docs: DataFrame, rules: Rules | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with the probability of good quality in ``__siftline_quality`` (0 for texts without words)."""
+def _kept(docs: DataFrame, rules: Rules | None, text_col: str, threshold: float) -> tuple[DataFrame, Column]:
+    """The accepted rows, with the statistics in ``_STATS``, and their probability as a column over these.
+
+    A generator carries the statistics, so that a filter on the probability is
+    not pushed below them and each is computed once a row.
+    """
     t = F.col(f"`{text_col}`").cast("string")
+    some = docs.where(t.rlike(r"\S"))
     if rules is None:
-        return docs.withColumn(_P + "quality", F.when(t.rlike(r"\S"), 1.0).otherwise(0.0))
-    used = {name for _, conditions in rules.rules for name, *_ in conditions}
-    stats = {k: c for k, c in statistics(t).items() if k in used}
-    wide = docs.withColumns({_P + k: c for k, c in stats.items()})
-    p = rules.probability({k: F.col(_P + k) for k in stats})
-    return wide.withColumn(_P + "quality", F.when(t.rlike(r"\S"), p).otherwise(0.0)).drop(*(_P + k for k in stats))
+        return some, F.lit(1.0)
+    used = {name for _, conditions in rules.rules for name, *_ in conditions} | {"chars"}
+    stats = F.struct(*(c.alias(k) for k, c in statistics(t).items() if k in used))
+    p = rules.probability({k: F.col(f"{_STATS}.{k}") for k in used})
+    return some.select("*", F.explode(F.array(stats)).alias(_STATS)).where(p >= threshold), p
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """The documents of good quality, with all their columns."""
-    rules = fit(docs, labels, id_col, text_col, **how)
-    q = F.col(_P + "quality")
-    return scored(docs, rules, text_col).where((q >= threshold) & (q > 0)).drop(_P + "quality")
+    return _kept(docs, fit(docs, labels, id_col, text_col, **how), text_col, threshold)[0].drop(_STATS)
 
 
 def qualities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """(doc_id, quality) of the documents of good quality."""
-    rules = fit(docs, labels, id_col, text_col, **how)
-    q = F.col(_P + "quality")
-    return scored(docs, rules, text_col).where((q >= threshold) & (q > 0)).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), q.alias("quality"))
+    some, p = _kept(docs, fit(docs, labels, id_col, text_col, **how), text_col, threshold)
+    return some.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), p.alias("quality"))
