@@ -16,8 +16,8 @@ least, halved for each r. Documents at or below ``alpha`` are toxic.
 
 Cases: null and empty texts, and texts without words, have no passages. Rows are
 scanned as often as they occur; ids may be null. Words are runs of letters,
-digits, underscores and non-ASCII bytes, ASCII case folded. Copies of a text
-count once in the fit; several labels of an id count as toxic if any is. No
+digits, underscores and non-ASCII bytes, ASCII case folded. Copies and near
+copies of a text count once in the fit; several labels of an id count as toxic if any is. No
 labels of a class, or no scored words: no document is toxic. Ties between
 segments keep the text's order. Further columns are ignored.
 """
@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm import kernels as K
+from siftline.plans.scratch import cut
 
-SAMPLE, PRIOR, Z, DRIFT, ALPHA = 10_000, 0.05, 4.0, 0.05, 1e-3
+SAMPLE, PRIOR, Z, DRIFT, ALPHA = 10_000, 0.05, 4.0, 0.05, 0.01
 OUT = "doc_id long, start_word int, end_word int, score double, e_value double, doc_p double"
 
 
@@ -68,14 +69,46 @@ def _frequencies(batches):
         )
 
 
+_MINS = 3
+
+
+def _min_shingles(batches):
+    """(label, text) → + a hash of the text and the least hashes of its word pairs, by three orders."""
+    np.seterr(over="ignore")
+    for batch in batches:
+        least = np.zeros((_MINS, batch.num_rows), np.int64)
+        for i, j, h, first in _words(batch):
+            nxt = np.r_[h[1:], K.U(0)]
+            nxt[first[1:][np.diff(first) > 0] - 1] = 0
+            two = K.pair(h, nxt)
+            some = np.flatnonzero(np.diff(first))
+            for m in range(_MINS):
+                if len(some):
+                    least[m, i + some] = np.minimum.reduceat(K.mix(two + K.U(m)), first[:-1][some]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("text"), *map(pa.array, least)], names=["label", "text", *(f"m{k}" for k in range(_MINS))])
+
+
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled documents a class; copies of a text count once."""
+    """(label, text) of at most ``sample`` labelled documents a class.
+
+    Copies and near copies count once, or every word of a toxic text with many
+    copies would look toxic: texts that agree in the least of their word pairs
+    are merged, by three orders in turn; a group is toxic if any of it is.
+    """
     one = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     one = one.groupBy("id").agg(F.max("label").alias("label"))
     parts = [one.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     some = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return text.join(some, "id").where("text is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("label", "text")
+    mins = ", ".join(f"m{k} long" for k in range(_MINS))
+    rows = text.join(some, "id").where("text is not null").select("label", "text").mapInArrow(_min_shingles, f"label int, text string, {mins}")
+    rows = cut(rows.withColumn("h", F.xxhash64("text", "label")), "labelled")
+    left = rows.drop("text")
+    for k in range(_MINS):
+        best = F.max(F.struct("label", "h", *(f"m{j}" for j in range(_MINS))))
+        left = left.groupBy(F.col(f"m{k}").alias("m")).agg(best.alias("b")).select("b.*")
+    kept = F.broadcast(left.select("h").distinct())  # at most 2 * sample rows
+    return rows.join(kept, "h", "left_semi").dropDuplicates(["h"]).select("label", "text")
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +219,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     sample: int = SAMPLE, prior: float = PRIOR, z: float = Z, drift: float = DRIFT,
 ) -> Fit | None:
-    from siftline.plans.scratch import cut
-
-    some = cut(sampled(docs, labels, id_col, text_col, label_col, sample), "labelled")
+    some = cut(sampled(docs, labels, id_col, text_col, label_col, sample), "sample")
     counted = some.select(F.col("label").alias("toxic"), "text").mapInArrow(_frequencies, "word long, toxic long, other long")
     counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     t = counted.where("toxic + other >= 3").toPandas()  # words of a sample of bounded size
@@ -201,7 +232,7 @@ def fit(
         return None
     order = np.argsort(t["word"].to_numpy()[keep])
     words, score = t["word"].to_numpy()[keep][order], odds[keep][order]
-    p = ((other + prior * (toxic + other)) / (other.sum() + prior * (toxic.sum() + other.sum())))[keep][order]
+    p = ((other + 0.5) / (other.sum() + 0.5 * len(other)))[keep][order]
     s = np.r_[score - drift, -drift]
     p = np.r_[p, max(0.0, 1 - p.sum())]
     if (p * s).sum() >= 0:
