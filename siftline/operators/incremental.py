@@ -78,8 +78,11 @@ def retrieve(contents: DataFrame, tags: DataFrame, query: str, tag_value: str |
     rows = contents.join(t.select("hash").distinct(), "hash", "left_semi")
     tok = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
     x = rows.withColumn("__tok", tok).withColumn("__n", F.size("__tok"))
-    for k, w in enumerate(words):
-        x = x.withColumn(f"__f{k}", F.size(F.filter("__tok", lambda y, w=w: y == w)))
+
+    def times(word: str):
+        return F.size(F.filter("__tok", lambda y: y == word))
+
+    x = x.withColumns({f"__f{k}": times(w) for k, w in enumerate(words)})
     agg = x.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{k}") > 0).alias(f"__d{k}") for k in range(len(words))))
     x = x.crossJoin(F.broadcast(agg))  # one row
     total, every = F.lit(0.0), F.lit(True)
