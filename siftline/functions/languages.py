@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ _FILENAMES = {
     "groovy": "Jenkinsfile build.gradle settings.gradle", "kotlin": "build.gradle.kts settings.gradle.kts",
 }
 _INTERPRETERS = {
-    "python": "python3? python", "javascript": "node", "shell": "bash sh zsh", "ruby": "ruby", "php": "php", "perl": "perl", "lua": "lua",
+    "python": "python3 python", "javascript": "node", "shell": "bash sh zsh", "ruby": "ruby", "php": "php", "perl": "perl", "lua": "lua",
     "elixir": "elixir", "julia": "julia", "dart": "dart", "groovy": "groovy",
 }
 #: Marks of a language in its text, tried where several languages are possible; space-free regexes.
@@ -62,14 +60,17 @@ def _name(path: Column) -> Column:
 
 
 def _lookup(value: Column, table: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for language, words in table.items():
-        out = F.when(value.isin(*words.split()), language).otherwise(out)
-    return out
+    """Language whose words hold the value, by one literal map."""
+    pairs = [F.lit(x) for language, words in table.items() for w in words.split() for x in (w, language)]
+    return F.try_element_at(F.create_map(*pairs), value)
+
+
+def _extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(_name(path), r"[^.]\.([^.]+)$", 1))
 
 
 def by_extension(path: Column) -> Column:
-    return _lookup(F.lower(F.regexp_extract(_name(path), r"[^.]\.([^.]+)$", 1)), _EXTENSIONS)
+    return _lookup(_extension(path), _EXTENSIONS)
 
 
 def by_filename(path: Column) -> Column:
@@ -77,34 +78,34 @@ def by_filename(path: Column) -> Column:
 
 
 def by_shebang(text: Column) -> Column:
-    first = F.split(text, "\n", 2)[0]
-    out = F.lit(None).cast("string")
-    for language, names in _INTERPRETERS.items():
-        rx = "|".join(n for n in names.split())
-        out = F.when(first.rlike(rf"^#!\s*(?:/usr)?/bin/(?:env\s+)?(?:{rx})\b"), language).otherwise(out)
-    return out
+    names = "|".join(n for v in _INTERPRETERS.values() for n in v.split())
+    return _lookup(F.regexp_extract(text, rf"^#!\s*(?:/usr)?/bin/(?:env\s+)?({names})\b", 1), _INTERPRETERS)
+
+
+def _marks(rx: str) -> str:
+    return "(?mi)" + rx[4:] if rx.startswith("(?i)") else "(?m)" + rx
+
 
+def by_content(text: Column, candidates: Column | None = None) -> Column:
+    """Language with the most marks in the text; ties go to the name that sorts first; null without marks.
 
-def by_content(text: Column, candidates: tuple[str, ...] | None = None) -> Column:
-    """Language with the most marks in the text; ties go to the name that sorts first; null without marks."""
-    names = sorted(candidates or _MARKS)
+    ``candidates``: array of the languages that may win, or null for all.
+    """
     votes = F.array(
-        *(F.struct(reduce(lambda a, b: a + b, [text.rlike(f"(?m){rx}" if not rx.startswith("(?i)") else f"(?mi){rx[4:]}").cast("int") for rx in _MARKS[x].split()]).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("x")) for k, x in enumerate(names))
+        *(F.struct(F.size(F.filter(F.array(*(text.rlike(_marks(rx)) for rx in _MARKS[x].split())), lambda y: y)).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("x")) for k, x in enumerate(sorted(_MARKS)))
     )
-    best = F.array_max(votes)
-    return F.when(best["n"] > 0, best["x"])
+    may = F.filter(votes, lambda v: (v["n"] > 0) if candidates is None else (v["n"] > 0) & (candidates.isNull() | F.array_contains(candidates, v["x"])))
+    return F.array_max(may)["x"]
 
 
 def detect(path: Column, text: Column | None = None) -> Column:
-    """Filename, then extension (a shebang overrides it, content decides ambiguous ones), shebang, content; else unknown."""
-    ext = F.lower(F.regexp_extract(_name(path), r"[^.]\.([^.]+)$", 1))
-    by_ext = by_extension(path)
-    if text is not None:
-        for e, choices in _AMBIGUOUS.items():
-            by_ext = F.when(ext == e, F.coalesce(by_content(text, choices), by_extension(path))).otherwise(by_ext)
-        by_ext = F.when(by_ext.isNotNull(), F.coalesce(by_shebang(text), by_ext))
-        return F.coalesce(by_filename(path), by_ext, by_shebang(text), by_content(text), F.lit("unknown"))
-    return F.coalesce(by_filename(path), by_ext, F.lit("unknown"))
+    """Filename, then shebang, extension (content decides ambiguous ones), content; else unknown."""
+    ext = by_extension(path)
+    if text is None:
+        return F.coalesce(by_filename(path), ext, F.lit("unknown"))
+    pairs = [c for e, choices in _AMBIGUOUS.items() for c in (F.lit(e), F.array(*map(F.lit, choices)))]
+    choices = F.try_element_at(F.create_map(*pairs), _extension(path))
+    return F.coalesce(by_filename(path), by_shebang(text), F.when(choices.isNull(), ext), by_content(text, choices), ext, F.lit("unknown"))
 
 
 def extensions(language: str) -> list[str]:
