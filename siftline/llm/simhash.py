@@ -37,7 +37,7 @@ BITS, STRIP = 128, 32
 #: Words of at least so many bytes are features; a document without any uses all its words.
 LONG_WORD = 5
 DISTANCE = 24
-RECALL = 0.9
+RECALL = 0.98
 
 
 def _fingerprints(batches):
