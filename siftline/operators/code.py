@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What Python's parser raises on text that it cannot parse, deep nesting included.
+_UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
 _NAME = r"[A-Za-z_$][\w$]*"
 #: language → (import kind, regex on a stripped line, group of the module, group of the alias or 0)
 IMPORTS: dict[str, list[tuple[str, str, int, int]]] = {
@@ -64,7 +66,7 @@ def _python_imports(text: str) -> list[tuple]:
     """(line, kind, module, from_module, alias, relative) by syntax tree, or by lines where it doesn't parse."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except _UNPARSED:
         out = []
         for k, line in enumerate(text.split("\n"), 1):
             s = line.strip()
@@ -144,7 +146,7 @@ def dependency_edges(corpus: DataFrame, path: str = "path", text: str = "text",
 def _python_entities(text: str) -> list[tuple]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except _UNPARSED:
         return _line_entities(text, "python")
     out = []
 
@@ -219,7 +221,7 @@ def ast_blocks(corpus: DataFrame, func: str | None = None, cls: str | None = Non
     def ranges(t: str, _: str) -> list[tuple]:
         try:
             tree = ast.parse(t)
-        except (SyntaxError, ValueError, RecursionError):
+        except _UNPARSED:
             return []
         hit = []
         for n in ast.walk(tree):

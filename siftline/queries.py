@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import fuzzy, semantic
-from siftline.operators import boolean, chunks, graph, history, incremental, metadata, rank, text, vectors
+from siftline.operators import boolean, chunks, code, collections, graph, history, incremental, metadata, rank, text, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -425,3 +425,139 @@ def ranked_search(t):
 @query()
 def chunk_documents(t):
     return chunks.greedy(t("documents"), 1000)
+
+
+@query("""SELECT doc_id, (length(text) - length(replace(text, 'thing', ''))) // 5 + (length(text) - length(replace(text, 'shing', ''))) // 5 AS hits FROM documents WHERE contains(text, 'thing') AND contains(text, 'shing')""")
+def multi_pattern_and(t):
+    b = text.multi_pattern(t("documents"), ["thing", "shing"], "AND")
+    return b.groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, line_no, replace(line, 'tion', '[tion]') AS shown FROM l WHERE contains(line, 'tion') AND NOT contains(line, 'tiontion')""")
+def highlighted_lines(t):
+    x = text.lines(t("documents")).where(F.col("line").contains("tion") & ~F.col("line").contains("tiontion"))
+    spans = F.transform(text.occurrences(F.col("line"), "tion"), lambda s: F.struct(s.alias("start"), (s + 4).alias("end")))
+    return x.select("doc_id", "line_no", text.highlight(F.col("line"), spans).alias("shown"))
+
+
+@query(f"""WITH {_LINES}, {_ISLANDS.format("ing", 3)} SELECT doc_id, string_agg(first_line || '-' || last_line || ':' || hits, ',' ORDER BY first_line) AS items FROM blocks GROUP BY doc_id""")
+def grouped_by_file(t):
+    b = text.blocks(text.literal_matches(t("documents"), "ing")).withColumnsRenamed({"first_line": "start_line", "last_line": "end_line"})
+    g = text.group_by_file(b)
+    return g.select("doc_id", F.array_join(F.transform("items", lambda x: F.concat(x.start_line, F.lit("-"), x.end_line, F.lit(":"), x.hits)), ",").alias("items"))
+
+
+@query(f"""WITH {_HIST} SELECT session_id, count(*) AS searches, count(DISTINCT pattern) AS patterns, sum(items)::BIGINT AS items, round(avg(success), 6) AS success, min(ts) AS start, max(ts) AS "end" FROM h GROUP BY session_id""")
+def history_by_session(t):
+    return history.session_summary(_history(t)).withColumn("success", F.round("success", 6))
+
+
+@query(f"""WITH {_HIST} SELECT category AS name, count(*) AS n, round(sum(elapsed_ms), 4) AS total, min(elapsed_ms) AS least, max(elapsed_ms) AS most, round(avg(elapsed_ms), 6) AS mean FROM h GROUP BY category""")
+def metric_summary(t):
+    m = history.metric_summary(_history(t), "category", "elapsed_ms")
+    return m.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
+@query(f"""WITH {_HIST}, x AS (SELECT category, elapsed_ms, row_number() OVER (PARTITION BY category ORDER BY event_id) AS r, count(*) OVER (PARTITION BY category) AS n FROM h),
+g AS (SELECT category AS name, avg(elapsed_ms) FILTER (r <= n // 2) AS before, avg(elapsed_ms) FILTER (r > n // 2) AS after FROM x GROUP BY category)
+SELECT name, round(before, 6) AS before, round(after, 6) AS after, CASE WHEN after / before > 1.1 THEN 'increasing' WHEN after / before < 0.9 THEN 'decreasing' ELSE 'stable' END AS direction FROM g""")
+def metric_trends(t):
+    m = collections.metric_trends(_history(t), "category", "elapsed_ms", "event_id")
+    return m.withColumns({"before": F.round("before", 6), "after": F.round("after", 6)})
+
+
+@query(f"""WITH {_HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS k FROM h)
+SELECT session_id, CASE WHEN count(DISTINCT pattern) / count(*)::DOUBLE > 0.7 THEN 'exploration' ELSE 'general' END AS intent FROM r WHERE k <= 5 GROUP BY session_id""")
+def session_intents(t):
+    return collections.intents(_history(t))
+
+
+@query(f"""WITH {_HIST} SELECT event_id, pattern FROM h WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def history_range(t):
+    return history.by_range(_history(t), "2024-01-10", "2024-01-12", 100).select("event_id", "pattern")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS path, epoch(o_orderdate) AS last_accessed, o_custkey % 9 AS access_count FROM orders) SELECT path FROM m WHERE NOT (last_accessed < epoch(TIMESTAMP '1998-01-01') - 30 * 86400 AND access_count < 5)""")
+def manifest_expire(t):
+    m = t("orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("timestamp").cast("double").alias("last_accessed"), (F.col("o_custkey") % 9).alias("access_count"))
+    return incremental.expire(m, 883612800.0).select("path")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o_custkey % 9 > 1) AS hot, floor(sum(o_custkey % 9) / count(*))::BIGINT AS avg_access FROM orders""")
+def manifest_stats(t):
+    return incremental.cache_stats(t("orders").select((F.col("o_custkey") % 9).alias("access_count")))
+
+
+@query("""SELECT s_suppkey, s_acctbal + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 0 OR s_suppkey % 3 = 0""")
+def merged_table(t):
+    s = t("supplier").select("s_suppkey", "s_acctbal")
+    return incremental.merge(s, s.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), ["s_suppkey"], s.where("s_suppkey % 7 = 0 and s_suppkey % 3 <> 0"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+') AS k FROM documents WHERE doc_id % 4 <> 3),
+f AS (SELECT doc_id, len(k) AS n, len(list_filter(k, lambda y: y = 'the')) AS f0, len(list_filter(k, lambda y: y = 'from')) AS f1 FROM w),
+a AS (SELECT count(*) AS docs, avg(n) AS av, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM f),
+s AS (SELECT doc_id, ln(1 + (docs - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / av)) + ln(1 + (docs - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / av)) AS score FROM f, a WHERE f0 > 0 AND f1 > 0)
+SELECT doc_id AS path, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 30""")
+def full_text_retrieve(t):
+    d = t("documents")
+    c = d.select(F.col("doc_id").alias("path"), F.col("doc_id").alias("hash"), "text")
+    tags = d.select(F.col("doc_id").alias("hash"), F.when(F.col("doc_id") % 4 == 3, "other").otherwise("main").alias("tag"))
+    return incremental.retrieve(c, tags, "the from", "main", 30).select("path", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT label, vec_id, round(s, 6) AS reranked FROM (SELECT label, vec_id, (label / 10.0)::DOUBLE + 0.2::DOUBLE * 0.5 + 0.1::DOUBLE * (1 - 2 * abs(0.25::DOUBLE - 0.5)) + CASE WHEN vec_id % 2 = 0 THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN vec_id % 5 = 0 THEN 0.2 ELSE 0 END::DOUBLE + 0.15::DOUBLE * 0.4 AS s FROM embeddings)""")
+def vector_rerank(t):
+    r = t("embeddings").select("label", "vec_id", (F.col("label") / 10.0).alias("score"), F.lit(0.5).alias("quality"), F.lit(0.25).alias("complexity"), (F.col("vec_id") % 2 == 0).alias("exact"), (F.col("vec_id") % 5 == 0).alias("name_hit"), F.lit(0.4).alias("cross_similarity"))
+    return vectors.rerank(r).select("label", "vec_id", F.round("reranked", 6).alias("reranked"))
+
+
+@query("""SELECT vec_id FROM embeddings WHERE label IN (SELECT r_regionkey FROM region)""")
+def vectors_without_orphans(t):
+    return vectors.without_orphans(t("embeddings"), t("region").select(F.col("r_regionkey").alias("label")), "label").select("vec_id")
+
+
+@query("""WITH x AS (SELECT doc_id, n_chars, n_chars / 2000.0 AS r, lang FROM documents)
+SELECT doc_id, round(least(1.0, CASE WHEN r BETWEEN 0.3 AND 1.0 THEN 0.3 WHEN r > 1.0 THEN greatest(0.0, 0.3 - (r - 1.0) * 0.3) ELSE 0.0 END + CASE WHEN lang = 'en' THEN 0.4 WHEN lang = 'de' THEN 0.2 ELSE 0.0 END + 0.2)::DOUBLE, 6) AS quality FROM x""")
+def chunk_quality(t):
+    kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "de", "block").otherwise("other")
+    return t("documents").select("doc_id", F.round(chunks.quality(F.col("n_chars"), 2000, kind, F.lit(True), F.lit(False)), 6).alias("quality"))
+
+
+@query("""WITH s AS (SELECT n_chars AS size FROM documents), o AS (SELECT size, row_number() OVER (ORDER BY size) AS k, count(*) OVER () AS n FROM s)
+SELECT count(*) AS chunks, sum(size)::BIGINT AS total, round(avg(size), 6) AS mean, min(size) AS least, max(size) AS most, (SELECT size FROM o WHERE k = n // 2 + 1) AS median FROM s""")
+def chunk_statistics(t):
+    return chunks.chunk_stats(t("documents").select(F.col("n_chars").alias("size"))).withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def greedy_clusters(t):
+    return rank.clusters(t("documents"), "doc_id", "text", 0.8)
+
+
+@query()
+def graph_refactoring(t):
+    return graph.refactoring(_edges(t))
+
+
+@query()
+def document_concepts(t):
+    return semantic.extract_concepts(text.lines(t("documents")))
+
+
+@query()
+def python_entities(t):
+    d = t("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text", F.lit("python").alias("language"))
+    return code.entities(d)
+
+
+@query()
+def detected_languages(t):
+    from siftline.functions.languages import detect
+
+    return t("documents").select("doc_id", detect(F.concat("source", F.lit("/file")), F.col("text")).alias("language"))
+
+
+@query()
+def semantic_ranking(t):
+    return semantic.semantic_search(t("documents"), "from with", 0.01).withColumn("score", F.round("score", 6))
