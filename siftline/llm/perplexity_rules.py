@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftline.llm import ngram_lm
 from siftline.plans.scratch import cut
 
-BELOW, ABOVE, SHORT = 5.0, 2.2, 200
+BELOW, ABOVE, SHORT = 5.0, 4.0, 200
 
 
 def judged(
