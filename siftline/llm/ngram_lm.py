@@ -414,7 +414,7 @@ def score(docs: DataFrame, folder: str | None, id_col: str = "doc_id", text_col:
     """(id, grp, n, log_p): bytes with the end byte, and their natural log probability."""
     rows = _rows(docs, text_col, group_col, F.col(f"`{id_col}`").cast("long").alias("id"))
     if folder is None:
-        return rows.where("false").select("id", "grp", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("log_p"))
+        return rows.where("false").select("id", "grp", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("log_p"))
     return rows.mapInArrow(_score(folder, order), "id long, grp string, n long, log_p double")
 
 
