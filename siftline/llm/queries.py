@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, ngram_lm, packing, perplexity_rules, rule_ensemble, simhash, suffix, topk, toxicity, warc
+from siftline.llm import mixing, packing, perplexity_rules, rule_ensemble, simhash, suffix, topk, toxicity, warc, word_lm
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op5_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.perplexity(_t(spark, sf_dir, "documents"))
+    return word_lm.perplexity(_t(spark, sf_dir, "documents"))
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
