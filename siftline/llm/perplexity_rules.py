@@ -1,10 +1,13 @@
-"""Quality rule: bands of n-gram perplexity for each language.
+"""Quality rule: bands of n-gram perplexity for each language, of letters and of words.
 
-Each language gets a byte n-gram model (:mod:`siftline.llm.ngram_lm`) counted
-over all its documents. A document's rate is its log perplexity. The band of a
+Each language gets two models counted over all its documents: a byte n-gram
+model (:mod:`siftline.llm.ngram_lm`) and a word trigram model
+(:mod:`siftline.llm.word_lm`), which scores a document with its own counts left
+out. A document's rate is its log perplexity a byte. The band of a
 language reaches from ``below`` to ``above`` interquartile ranges beyond the
 lower and upper quartile of its documents' rates; a short document's rate
-varies more, so its band widens by ``1 + short / n`` for n bytes.
+varies more, so its band widens by ``1 + short / n`` for n bytes. A document
+stays if it is inside both bands.
 
 Cases: null texts are no documents and are not kept; an empty text is an end
 byte alone, whose rate is judged like any other. A null language is a language
@@ -17,25 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm import ngram_lm
+from siftline.llm import ngram_lm, word_lm
 from siftline.plans.scratch import cut
 
 BELOW, ABOVE, SHORT = 5.0, 4.0, 200
+#: Of the word model, above: the usual fence for outliers.
+WORDS_ABOVE = 1.5
 
 
-def judged(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    below: float = BELOW,
-    above: float = ABOVE,
-    short: int = SHORT,
-    order: int = ngram_lm.ORDER,
-) -> DataFrame:
-    """(doc_id, lang, n_tokens, perplexity, low, high, keep) of every document."""
-    folder = ngram_lm.train(docs, text_col, lang_col, order)
-    got = cut(ngram_lm.score(docs, folder, id_col, text_col, lang_col, order).withColumn("rate", -F.col("log_p") / F.col("n")), "rates")
+def _judged(scored: DataFrame, below: float, above: float, short: int) -> DataFrame:
+    got = cut(scored.withColumn("rate", -F.col("log_p") / F.col("n")), "rates")
     q = F.percentile_approx("rate", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     bands = got.groupBy(F.col("grp").alias("g")).agg(q.alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
@@ -55,6 +49,30 @@ def judged(
     )
 
 
-def kept(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, lang, n_tokens, perplexity) of the documents inside their language's band."""
-    return judged(docs, **how).where("keep").select("doc_id", "lang", "n_tokens", "perplexity")
+def judged(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    below: float = BELOW,
+    above: float = ABOVE,
+    short: int = SHORT,
+    order: int = ngram_lm.ORDER,
+) -> DataFrame:
+    """(doc_id, lang, n_tokens, perplexity, low, high, keep) of every document by its letters."""
+    folder = ngram_lm.train(docs, text_col, lang_col, order)
+    return _judged(ngram_lm.score(docs, folder, id_col, text_col, lang_col, order), below, above, short)
+
+
+def judged_words(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = WORDS_ABOVE, short: int = SHORT
+) -> DataFrame:
+    """(doc_id, lang, n_tokens, perplexity, low, high, keep) of every document by its words, its own counts left out."""
+    return _judged(word_lm.score(docs, id_col, text_col, lang_col, leave_out=True), below, above, short)
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, n_tokens, perplexity) of the documents inside both of their language's bands; perplexity is that of the words."""
+    words = judged_words(docs, id_col, text_col, lang_col).where("keep").select("doc_id", "lang", "n_tokens", "perplexity")
+    out = judged(docs, id_col, text_col, lang_col).where("not keep").select(F.col("doc_id").alias("i"), F.col("lang").alias("g"), F.col("n_tokens").alias("n"))
+    return words.join(out, (F.col("doc_id") == F.col("i")) & F.col("lang").eqNullSafe(F.col("g")) & (F.col("n_tokens") == F.col("n")), "left_anti")

@@ -96,3 +96,14 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     for leave_out in (False, True):
         assert word_lm.score(df, leave_out=leave_out).count() == word_lm.score(df.where("false"), leave_out=leave_out).count() == 0
+
+
+def test_op5_leaves_a_document_out(spark, tmp_path):
+    """Junk that occurs once in a small corpus is familiar only to itself."""
+    rng = random.Random(8)
+    ws = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(200)]
+    rows = [(k, " ".join(rng.choice(ws) for _ in range(rng.randrange(50, 400))), "en") for k in range(150)]
+    rows += [(1000 + k, "".join(rng.choice("!#$%&QWERTZ0123456789") for _ in range(900)), "en") for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in queries.op5_perplexity_bands(spark, str(tmp_path)).collect()}
+    assert not kept & set(range(1000, 1005)) and len(kept) >= 148
