@@ -419,7 +419,7 @@ def rank_by_frequency(t):
 def ranked_search(t):
     d = t("documents").withColumns({"path": F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), "mtime": F.col("doc_id").cast("double")})
     items = text.search(d, "tion", context=1).join(d.select("doc_id", "path", "mtime"), "doc_id")
-    return rank.drop_overlaps(rank.sorted_items(items, "tion", "hybrid").limit(500)).select("doc_id", "start_line", "end_line", F.round("score", 6).alias("score"))
+    return rank.sorted_items(rank.drop_overlaps(items), "tion", "hybrid").select("doc_id", "start_line", "end_line", F.round("score", 6).alias("score"))
 
 
 @query()
