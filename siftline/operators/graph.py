@@ -82,16 +82,18 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
     return g.crossJoin(F.broadcast(n)).select("start", "direct", "transitive", F.least(F.lit(1.0), (2 * F.col("direct") + F.col("transitive")) / (3 * F.col("n"))).alias("score"))
 
 
-def cycles(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node, named by their least node.
 
-    Nodes without an edge in or out of the rest are trimmed; then the least
-    reachable label and the least reaching label are spread, and nodes for which
-    both agree with a pivot form a component.
+    Nodes without an edge in or out of the rest are trimmed. Then each node is
+    coloured by the first node that reaches it, in an order that is drawn anew
+    for each pass, and the members of a colour that reach the node it is named
+    by form a component. Edges between colours are on no cycle. The passes end
+    when no edge is left; a pass takes at least one component of what is left.
     """
     e = cut(edges.select("source", "target").where("source <> target").distinct(), "scc")
-    found = None
-    for _ in range(rounds):
+    found, turn = None, 0
+    while True:
         while True:  # trim
             core = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             core = cut(core.join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "scc")
@@ -102,8 +104,9 @@ def cycles(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 break
         if e.isEmpty():
             break
-        # colour every node by the least node that reaches it
-        colour = cut(nodes(e).withColumn("c", F.col("node")), "scc")
+        turn += 1
+        # colour every node by the first node that reaches it
+        colour = cut(nodes(e).withColumn("c", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("first"))), "scc")
         while True:
             best = e.join(colour, e.source == colour.node).groupBy("target").agg(F.min("c").alias("m"))
             new = cut(colour.join(best, colour.node == best.target, "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")), "scc")
@@ -115,7 +118,7 @@ def cycles(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # a colour's component: its members that reach the node it is named by
         inside = e.join(colour.select(F.col("node").alias("source"), F.col("c").alias("cs")), "source").join(colour.select(F.col("node").alias("target"), F.col("c").alias("ct")), "target").where("cs = ct").select("source", "target", F.col("cs").alias("c"))
         inside = cut(inside, "scc")
-        front = colour.where("node = c").select("node", "c")
+        front = colour.where("node = c.first").select("node", "c")
         got = cut(front, "scc")
         while True:
             more = inside.join(front.select(F.col("node").alias("target"), "c"), ["target", "c"]).select(F.col("source").alias("node"), "c").distinct().join(got, ["node", "c"], "left_anti")
@@ -123,22 +126,22 @@ def cycles(edges: DataFrame, rounds: int = 60) -> DataFrame:
             if more.isEmpty():
                 break
             got, front = cut(got.unionByName(more), "scc"), more
-        part = got.groupBy("c").agg(F.collect_set("node").alias("m")).where("size(m) > 1").select(F.explode("m").alias("node"), F.col("c").alias("component"))
+        part = got.groupBy("c").agg(F.collect_set("node").alias("m")).where("size(m) > 1").select(F.explode("m").alias("node"), F.array_min("m").alias("component"))
         found = part if found is None else found.unionByName(part)
-        rest = e.join(got.select(F.col("node").alias("source")), "source", "left_anti").join(got.select(F.col("node").alias("target")), "target", "left_anti")
+        rest = inside.join(got.select(F.col("node").alias("source")), "source", "left_anti").join(got.select(F.col("node").alias("target")), "target", "left_anti")
         e = cut(rest.select("source", "target"), "scc")
     if found is None:
         return nodes(edges).where("false").withColumn("component", F.col("node"))
     return found
 
 
-def longest_path(edges: DataFrame, bound: int = 64) -> int:
+def longest_path(edges: DataFrame) -> int:
     """Number of edges on the longest path of an acyclic graph; nodes on cycles are left out."""
     bad = cycles(edges).select("node")
     e = edges.select("source", "target").where("source <> target").distinct()
     e = cut(e.join(bad.withColumnRenamed("node", "source"), "source", "left_anti").join(bad.withColumnRenamed("node", "target"), "target", "left_anti"), "dag")
     front, k = e.select(F.col("target").alias("node")).distinct(), 0
-    while k < bound and not front.isEmpty():
+    while not front.isEmpty():
         k += 1
         front = cut(front.join(e, front.node == e.source).select(F.col("target").alias("node")).distinct(), "dag")
     return k
