@@ -1,77 +1,124 @@
 """SimHash near-duplicate search by a May-Ozerov recursion.
 
-A document's fingerprint is the 128-bit SimHash of its distinct long words.
-Fingerprints within ``distance`` bits are near copies. To find them without
-comparing all pairs, each repetition draws a random order of the coordinates
-and cuts it into strips. On a strip, random centres filter the fingerprints by
-partial weight: a list keeps those whose strip, XORed with the centre, weighs
-at most ``weight`` bits. Lists are filtered again on the next strip until they
-are small, and are then searched by brute force. :func:`plan` picks depth,
-weight, centres and repetitions so that a pair at the full distance meets in a
-final list with probability ``recall``; closer pairs meet more often.
+A document's fingerprint is the 128-bit SimHash of its distinct words and word
+pairs. Fingerprints within ``distance`` bits are candidates. To find them
+without comparing all pairs, each repetition draws a random order of the
+coordinates and cuts it into strips. On the first strip, random centres filter
+the fingerprints by partial weight: a list keeps those whose strip, XORed with
+the centre, weighs at most ``weight`` bits. The lists are counted; one that is
+longer than ``LONG`` is filtered again on the next strip by finer centres, and
+so on by their real sizes down to the depth of the plan, after which lists are
+searched by brute force (a list that is still long in blocks, one task for each
+pair of blocks). :func:`plan` picks weight, centres and repetitions so that a
+pair at the full distance meets in a final list with probability ``recall`` at
+the greatest depth; closer pairs, and pairs in lists that end earlier, meet
+more often.
+
+Candidates link documents to components. A component is settled by the texts:
+each document carries a sketch of its word set (the least hash of each of 256
+bins), whose share of equal bins estimates the Jaccard similarity of two word
+sets (standard error 0.03; exact up to shared bins for short texts). The least
+document of a component stays, all that are at least ``near`` similar to it are
+its copies, and the rest goes on in the same way, up to 256 staying documents a
+round. So no document goes that isn't near the one that stays.
 
 Cases: a null or empty text, or one without any word byte, has no fingerprint
 unless it has other characters (then the whole text is its one feature); null
 and empty texts are never near copies. Rows that agree in id and text are one
 document. A null id is an id of its own, ordered last. Ties: the document with
-the least (id, text hash) of a group stays. Further columns are ignored by the
-search and kept by :func:`dedup`.
+the least (id, text hash) stays. Ids are cast to long, so an id that is no
+number is an error. Further columns are ignored by the search and kept by
+:func:`dedup`. An empty table has no copies.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import kernels as K
 from siftline.llm.identity import KEY, TH, identified, keyed
 from siftline.plans.components import connected_components
-from siftline.plans.scratch import cut
+from siftline.plans.scratch import cut, drop
 
 BITS, STRIP = 128, 32
-#: Words of at least so many bytes are features; a document without any uses all its words.
-LONG_WORD = 5
 DISTANCE = 24
 RECALL = 0.98
+#: Least similarity of word sets of a copy and the document that stays.
+NEAR = 0.6
+BINS = 256
+#: Longer lists are filtered again, by centres of this weight and number.
+LONG, FINE = 1024, (9, 1024)
+#: Rows of a block of a final list, documents that may stay a round, and documents of a group a task.
+BLOCK, STARS, GROUP = 8192, 256, 20_000
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Sorted distinct (document, leading 44 bits of a hash)."""
+    key = np.sort((doc.astype(np.uint64) << K.U(44)) | (h >> K.U(20)))
+    return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
 
 
 def _fingerprints(batches):
     np.seterr(over="ignore")
+    low = K.U((1 << 44) - 1)
     for batch in batches:
         buf, off = K.utf8(batch.column("text"))
-        fp = np.zeros((len(off) - 1, 16), np.uint8)
+        fp, sketch = np.zeros((len(off) - 1, 16), np.uint8), np.zeros((len(off) - 1, BINS), np.uint8)
         for i, j in K.runs(off):
             o = off[i : j + 1] - off[i]
             b = K.LOWER[buf[off[i] : off[j]]]
             s, e, first = K.tokens(b, o, K.WORD)
             h = K.token_hash(b, s, e)
             doc = np.repeat(np.arange(j - i), np.diff(first))
-            long = (e - s) >= LONG_WORD
-            none = np.bincount(doc[long], minlength=j - i) == 0
-            use = long | none[doc]
-            key = np.sort((doc[use].astype(np.uint64) << K.U(44)) | (h[use] >> K.U(20)))
-            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-            doc, h = (key >> K.U(44)).astype(np.int64), K.mix(key & K.U((1 << 44) - 1))
-            f = K.simhash128(h, np.searchsorted(doc, np.arange(j - i + 1)))
-            for k in np.flatnonzero((np.bincount(doc, minlength=j - i) == 0) & (np.diff(o) > 0)):
+            none = np.flatnonzero((np.diff(first) == 0) & (np.diff(o) > 0))
+            for k in none:  # the whole text is the one feature
                 one = b[o[k] : o[k + 1]]
-                f[k] = K.simhash128(K.token_hash(one, np.array([0]), np.array([len(one)])), np.array([0, 1]))[0]
-            fp[i:j] = f
+                h, doc = np.r_[h, K.token_hash(one, np.array([0]), np.array([len(one)]))], np.r_[doc, k]
+            two = np.flatnonzero(doc[1:] == doc[:-1])
+            words, pairs = _distinct(doc, h), _distinct(doc[two], K.pair(h[two], h[two + 1]))
+            # the least hash of each bin comes first
+            bins = (words >> K.U(36)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]][: len(bins)])
+            sketch[i + (bins[at] >> 8), bins[at] & 255] = (K.mix(words[at] & low) >> K.U(56)).astype(np.uint8) % 255 + 1
+            both = np.concatenate([words, pairs])
+            both = both[np.argsort(both >> K.U(44), kind="stable")]
+            doc = (both >> K.U(44)).astype(np.int64)
+            fp[i:j] = K.simhash128(K.mix(both & low), np.searchsorted(doc, np.arange(j - i + 1)))
         none = np.diff(off) == 0
-        data = pa.Array.from_buffers(pa.binary(16), len(fp), [None, pa.py_buffer(fp.tobytes())]).cast(pa.binary())
+        data = _binary(fp)
         if none.any():
             data = pa.compute.if_else(pa.array(~none), data, pa.scalar(None, pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), data], names=["id", "th", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), data, _binary(sketch)], names=["id", "th", "fp", "sketch"])
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    return pa.Array.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+def _bytes(col: pa.Array, width: int) -> np.ndarray:
+    """The inverse of :func:`_binary`."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, fp BINARY(16)); fp is null for null and empty texts."""
-    return identified(docs, id_col, text_col).mapInArrow(_fingerprints, "id long, th long, fp binary")
+    """(id, th, fp BINARY(16), sketch BINARY(256)); fp is null for null and empty texts."""
+    return identified(docs, id_col, text_col).mapInArrow(_fingerprints, "id long, th long, fp binary, sketch binary")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of word sets: sketches (n, 256) against (m, 256) → (n, m)."""
+    out = np.empty((len(a), len(b)))
+    for k, y in enumerate(b):
+        some = (a | y) != 0
+        out[:, k] = ((a == y) & some).sum(1) / np.maximum(some.sum(1), 1)
+    return out
 
 
 def _p_both(weight: int, apart: int) -> float:
@@ -89,73 +136,151 @@ def _p_both(weight: int, apart: int) -> float:
 
 @lru_cache(None)
 def _meets(weight: int, centres: int, depth: int, distance: int) -> float:
-    """Chance that a pair at ``distance`` shares a final list of one repetition."""
-    each = [1 - (1 - _p_both(weight, j)) ** centres for j in range(STRIP + 1)]
+    """Chance that a pair at ``distance`` shares a final list of one repetition, at ``depth``."""
+    each = [[1 - (1 - _p_both(w, j)) ** c for j in range(STRIP + 1)] for w, c in ((weight, centres), FINE)]
 
     @lru_cache(None)
     def walk(level: int, bits: int, apart: int) -> float:
-        if not level:
+        if level == depth:
             return 1.0
         return sum(
-            comb(apart, j) * comb(bits - apart, STRIP - j) / comb(bits, STRIP) * each[j] * walk(level - 1, bits - STRIP, apart - j)
+            comb(apart, j) * comb(bits - apart, STRIP - j) / comb(bits, STRIP) * each[min(level, 1)][j] * walk(level + 1, bits - STRIP, apart - j)
             for j in range(min(STRIP, apart) + 1)
             if STRIP - j <= bits - apart
         )
 
-    return walk(depth, BITS, distance)
+    return walk(0, BITS, distance)
+
+
+def _kept(weight: int) -> float:
+    """Share of random strips that a centre keeps."""
+    return sum(comb(STRIP, k) for k in range(weight + 1)) / 2**STRIP
 
 
 def plan(n: int, distance: int = DISTANCE, recall: float = RECALL) -> dict:
-    """Cheapest (depth, weight, centres, repeats) that reaches ``recall`` over ``n`` fingerprints."""
-    best = None
-    for depth in range(1, BITS // STRIP + 1):
-        for weight in range(4, 11):
-            p = sum(comb(STRIP, k) for k in range(weight + 1)) / 2**STRIP
-            for centres in (64, 256, 1024):
-                meets = _meets(weight, centres, depth, distance)
-                if meets < 1e-5:
-                    continue
-                repeats = max(1, ceil(log(1 - recall) / log(max(1e-12, 1 - meets))))
-                if repeats >= 4096:
-                    continue
-                copies = repeats * (centres * p) ** depth
-                cost = n * repeats * centres * depth * 2e-9 + n * copies * 2e-6 + repeats * (centres * p * p) ** depth * n * n * 4e-9
-                if best is None or cost < best["cost"]:
-                    best = {"cost": cost, "depth": depth, "weight": weight, "centres": centres, "repeats": repeats, "copies": copies}
+    """Cheapest (weight, centres, repeats) of the first filter that reaches ``recall`` over ``n`` fingerprints.
+
+    ``depth`` is the greatest depth of a list: that at which ``n`` random
+    fingerprints give lists below ``LONG``, at least 2, so that a list that real
+    fingerprints make long can be refined.
+    """
+    best, fine = None, _kept(FINE[0])
+    for weight in range(4, 11):
+        p = _kept(weight)
+        need = 1
+        while n * p * fine ** (need - 1) > LONG and need < BITS // STRIP:
+            need += 1
+        for centres in (64, 256, 1024):
+            depth = max(2, need)
+            meets = _meets(weight, centres, depth, distance)
+            if meets < 1e-5:
+                continue
+            repeats = max(1, ceil(log(1 - recall) / log(max(1e-12, 1 - meets))))
+            if repeats >= 4096:
+                continue
+            copies = repeats * centres * p * (FINE[1] * fine) ** (need - 1)
+            compared = copies * n * p * fine ** (need - 1)
+            cost = n * repeats * centres * 2e-9 + n * copies * 2e-6 + n * compared * 4e-9
+            if best is None or cost < best["cost"]:
+                best = {"cost": cost, "depth": depth, "weight": weight, "centres": centres, "repeats": repeats, "copies": copies}
     return best
 
 
-def _lists(how: dict, seed: int):
-    """Arrow batches of fingerprints → (list, fp) for each final list that keeps them."""
+def _walk(how: dict, seed: int, long: list[np.ndarray]):
+    """Fingerprints → (lists, rows) that keep them, descending below the ``long`` lists of each level.
+
+    A list's name has a digit for each level: repetition, then centre + 1.
+    """
+    rng = np.random.default_rng(seed)
+    order = [rng.permutation(BITS) for _ in range(how["repeats"])]
+    shape = [(how["weight"], how["centres"])] + [FINE] * (how["depth"] - 1)
+    base = max(c for _, c in shape) + 1
+    centre = [[rng.integers(0, 2**32, c, dtype=np.uint32) for _, c in shape] for _ in order]
+
+    def lists(fp: np.ndarray, level: int):
+        """(lists, rows) at ``level``: all of the first level, or the children of long lists."""
+        bits = np.unpackbits(fp, axis=1)
+        keys, rows = [], []
+        for rep, (o, c) in enumerate(zip(order, centre)):
+            key, row = np.full(len(fp), rep + 1, np.int64), np.arange(len(fp))
+            for lv in range(level + 1):
+                strips = np.ascontiguousarray(np.packbits(bits[:, o[STRIP * lv : STRIP * (lv + 1)]], axis=1)).view(np.uint32)[:, 0]
+                if lv:
+                    at = np.searchsorted(long[lv - 1], key)
+                    at[at == len(long[lv - 1])] = 0
+                    go = long[lv - 1][at] == key
+                    key, row = key[go], row[go]
+                    if not len(key):
+                        break
+                i, j = np.nonzero(np.bitwise_count(strips[row, None] ^ c[lv][None, :]) <= shape[lv][0])
+                key, row = key[i] * base + j + 1, row[i]
+            keys.append(key)
+            rows.append(row)
+        return np.concatenate(keys), np.concatenate(rows)
+
+    return lists
+
+
+def _counts(how: dict, seed: int, long: list[np.ndarray]):
+    """Arrow batches of fingerprints → (list, n) of the deepest level, a row a list and task."""
 
     def run(batches):
-        rng = np.random.default_rng(seed)
-        depth = how["depth"]
-        order = [rng.permutation(BITS)[: STRIP * depth] for _ in range(how["repeats"])]
-        centre = [rng.integers(0, 2**32, (depth, how["centres"]), dtype=np.uint32) for _ in order]
+        walk, held, n = _walk(how, seed, long), [], []
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 16)
+            fp = _bytes(batch.column("fp"), 16)
+            for at in range(0, len(fp), 4096):
+                k, c = np.unique(walk(fp[at : at + 4096], len(long))[0], return_counts=True)
+                held.append(k)
+                n.append(c)
+            if held and sum(map(len, held)) > 1 << 20:
+                k, back = np.unique(np.concatenate(held), return_inverse=True)
+                held, n = [k], [np.bincount(back, np.concatenate(n)).astype(np.int64)]
+        if held:
+            k, back = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(back, np.concatenate(n)).astype(np.int64)
+            for at in range(0, len(k), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 17)]), pa.array(n[at : at + (1 << 17)])], names=["list", "n"])
+
+    return run
+
+
+def _lists(how: dict, seed: int, long: list[np.ndarray], blocks: dict[int, int]):
+    """Arrow batches of fingerprints → (list, part, side, fp) for each final list that keeps them.
+
+    A list of several blocks has a part for each pair of them; a fingerprint of
+    one block (side 0) meets those of the other (side 1) there.
+    """
+
+    def run(batches):
+        walk = _walk(how, seed, long)
+        wide = np.array(sorted(blocks), np.int64)
+        for batch in batches:
+            fp = _bytes(batch.column("fp"), 16)
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                bits = np.unpackbits(part, axis=1)
-                keys, rows = [], []
-                for rep, (o, c) in enumerate(zip(order, centre)):
-                    strips = np.ascontiguousarray(np.packbits(bits[:, o], axis=1)).view(np.uint32)
-                    key, row = np.full(len(part), rep, np.int64), np.arange(len(part))
-                    for level in range(depth):
-                        i, j = np.nonzero(np.bitwise_count(strips[:, level, None] ^ c[level][None, :]) <= how["weight"])
-                        n = np.bincount(i, minlength=len(part))
-                        start = np.cumsum(n) - n
-                        m = n[row]
-                        idx = np.repeat(start[row], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                        key, row = np.repeat(key, m) * how["centres"] + j[idx], np.repeat(row, m)
-                    keys.append(key)
-                    rows.append(row)
-                keys, rows = np.concatenate(keys), np.concatenate(rows)
-                for k in range(0, len(keys), 1 << 17):
-                    r = np.ascontiguousarray(part[rows[k : k + (1 << 17)]])
-                    data = pa.Array.from_buffers(pa.binary(16), len(r), [None, pa.py_buffer(r.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 17)]), data], names=["list", "fp"])
+                for level in range(len(long) + 1):
+                    keys, rows = walk(part, level)
+                    if level < len(long):
+                        i = np.searchsorted(long[level], keys)
+                        i[i == len(long[level])] = 0
+                        end = (long[level][i] != keys) if len(long[level]) else np.ones(len(keys), bool)
+                        keys, rows = keys[end], rows[end]
+                    pair, side = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int8)
+                    if len(wide) and len(keys):
+                        i = np.searchsorted(wide, keys)
+                        i[i == len(wide)] = 0
+                        hit = np.flatnonzero(wide[i] == keys)
+                        more = [(np.delete(keys, hit), np.delete(rows, hit), np.delete(pair, hit), np.delete(side, hit))]
+                        for k in np.unique(keys[hit]):
+                            r, m = rows[hit][keys[hit] == k], blocks[int(k)]
+                            own = (part[r].view(np.uint64)[:, 0] % np.uint64(m)).astype(np.int64)
+                            for other in range(m):
+                                lo, hi = np.minimum(own, other), np.maximum(own, other)
+                                more.append((np.full(len(r), k), r, lo * m + hi, (own > other).astype(np.int8)))
+                        keys, rows, pair, side = (np.concatenate(x) for x in zip(*more))
+                    for k in range(0, len(keys), 1 << 17):
+                        sl = slice(k, k + (1 << 17))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[sl]), pa.array(pair[sl]), pa.array(side[sl]), _binary(part[rows[sl]])], names=["list", "part", "side", "fp"])
 
     return run
 
@@ -191,10 +316,7 @@ def _forest(fp: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _search(distance: int, pairs: bool):
-    """Arrow batches sorted by list → edges; a list that spans batches is gathered."""
-
-    def table(x: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+    """Arrow batches sorted by list and part → edges; a part that spans batches is gathered, which its size bounds."""
 
     def solve(fp: np.ndarray):
         if pairs:
@@ -207,23 +329,23 @@ def _search(distance: int, pairs: bool):
 
     def flush(found):
         a, b, d = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([table(a), table(b), pa.array(d.astype(np.int32))], names=["a", "b", "bits"])
+        return pa.RecordBatch.from_arrays([_binary(a), _binary(b), pa.array(d.astype(np.int32))], names=["a", "b", "bits"])
 
     def run(batches):
-        held_key, held, found, n = None, [], [], 0
+        now, held, found, n = None, [], [], 0
         for batch in batches:
-            key = batch.column("list").to_numpy()
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 16)
-            cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            key, part = batch.column("list").to_numpy(), batch.column("part").to_numpy()
+            fp = _bytes(batch.column("fp"), 16)
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, len(key)]
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if s == e:
                     continue
-                if held_key != key[s]:
+                if now != (key[s], part[s]):
                     if sum(map(len, held)) > 1:
                         for x in solve(np.concatenate(held)):
                             found.append(x)
                             n += len(x[0])
-                    held_key, held = key[s], []
+                    now, held = (key[s], part[s]), []
                 held.append(fp[s:e])
                 if n > 50_000:
                     yield flush(found)
@@ -236,36 +358,116 @@ def _search(distance: int, pairs: bool):
     return run
 
 
+def refined(fps: DataFrame, how: dict, seed: int, longest: int = LONG) -> tuple[list[np.ndarray], dict[int, int]]:
+    """(long lists of each level that are filtered again, blocks of final lists that stay long).
+
+    Lists are counted level by level. At most a million lists a level are long,
+    as ``longest`` rises with the rows, so what the driver holds is bounded.
+    """
+    long: list[np.ndarray] = []
+    rows = fps.select("fp")
+    limit, deep = longest, how["depth"]
+    while True:
+        n = rows.mapInArrow(_counts(how, seed, long), "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+        n = cut(n, "lists")
+        limit = max(limit, int(n.agg(F.sum("n")).first()[0] or 0) // 1_000_000)
+        last = len(long) == deep - 1
+        most = n.where(F.col("n") > (max(BLOCK, limit) if last else limit)).collect()
+        drop(n)
+        if last:
+            return long, {r.list: -(-r.n // BLOCK) for r in most}
+        if not most:
+            return long, {}
+        long.append(np.sort(np.array([r.list for r in most], np.int64)))
+
+
 def candidate_edges(
-    fps: DataFrame, distance: int = DISTANCE, recall: float = RECALL, seed: int = 11, pairs: bool = False, n: int | None = None
+    fps: DataFrame, distance: int = DISTANCE, recall: float = RECALL, seed: int = 11, pairs: bool = False, n: int | None = None, longest: int = LONG
 ) -> DataFrame:
     """Distinct ``fp`` → (a, b, bits). ``pairs``: all pairs found; else a forest of each list's components."""
     n = fps.count() if n is None else n
     how = plan(max(2, n), distance, recall)
+    long, blocks = refined(fps, how, seed, longest)
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n * how["copies"] // 2_000_000))
     return (
-        fps.mapInArrow(_lists(how, seed), "list long, fp binary")
-        .repartition(parts, "list")
-        .sortWithinPartitions("list")
+        fps.select("fp").mapInArrow(_lists(how, seed, long, blocks), "list long, part long, side byte, fp binary")
+        .repartition(parts, "list", "part")
+        .sortWithinPartitions("list", "part")
+        .drop("side")
         .mapInArrow(_search(distance, pairs), "a binary, b binary, bits int")
         .distinct()
     )
 
 
+_MEMBER = "root binary, no_id boolean, id long, th long, sketch binary"
+_SETTLED = _MEMBER + ", keep_id long, keep_th long, done boolean"
+
+
+def _settle(near: float):
+    """Some documents of a component, and the least ones that are left of it → each document and the first of those it is near, if any."""
+
+    def run(members: pa.Table, block: pa.Table) -> pa.Table:
+        members = members.drop_columns("salt").combine_chunks()
+        block = block.rename_columns([c.removeprefix("b_") for c in block.column_names]).combine_chunks()
+        if not len(members) or not len(block):
+            return pa.table({n: pa.array([], t) for n, t in (("root", pa.binary()), ("no_id", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("sketch", pa.binary()), ("keep_id", pa.int64()), ("keep_th", pa.int64()), ("done", pa.bool_()))})
+        block = block.sort_by([("no_id", "ascending"), ("id", "ascending"), ("th", "ascending")])
+        x = _bytes(block.column("sketch"), BINS)
+        close, stays = similarity(x, x) >= near, []
+        for k in range(len(x)):
+            if not close[k, stays].any():
+                stays.append(k)
+        own = _bytes(members.column("sketch"), BINS)
+        where = np.full(len(own), -1)
+        for at in range(0, len(own), 4096):
+            hit = similarity(own[at : at + 4096], x[stays]) >= near
+            where[at : at + 4096] = np.where(hit.any(1), np.array(stays)[hit.argmax(1)], -1)
+        pick = pa.array(np.maximum(where, 0))
+        done = pa.array(where >= 0)
+        return members.append_column("keep_id", block.column("id").take(pick)).append_column("keep_th", block.column("th").take(pick)).append_column("done", done)
+
+    return run
+
+
+def settled(members: DataFrame, near: float = NEAR) -> DataFrame:
+    """(root, no_id, id, th, sketch) of components → (id, th, keep_id, keep_th): who stays for each document.
+
+    A round takes the ``STARS`` least documents left of each component; those
+    that no earlier one of them is near stay, and every document near one that
+    stays is settled. Large components are split over tasks by text hash, each
+    with that block, so a task holds at most about ``GROUP`` documents.
+    """
+    out, left = [], cut(members, "members")
+    order = Window.partitionBy("root").orderBy("no_id", "id", "th")
+    columns = [c.split()[0] for c in _MEMBER.split(", ")]
+    while not left.isEmpty():
+        big = left.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("root", F.ceil(F.col("n") / GROUP).alias("salts"))
+        big = F.broadcast(cut(big, "big"))  # at most a row for every GROUP documents
+        salts = F.coalesce("salts", F.lit(1))
+        rows = left.join(big, "root", "left").withColumn("salt", F.pmod("th", salts)).drop("salts")
+        block = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= STARS).drop("k").join(big, "root", "left")
+        block = block.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+        pick = [*columns, "salt"]
+        got = rows.select(pick).groupBy("root", "salt").cogroup(block.select([F.col(c).alias("b_" + c) for c in pick]).groupBy("b_root", "b_salt"))
+        got = cut(got.applyInArrow(_settle(near), _SETTLED), "settled")
+        drop(left)
+        out.append(got.where("done").select("id", "th", "keep_id", "keep_th"))
+        left = cut(got.where("not done").select(columns), "members")
+    return reduce(DataFrame.unionByName, out) if out else left.select("id", "th", F.col("id").alias("keep_id"), F.col("th").alias("keep_th"))
+
+
 def groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, seed: int = 11
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL, seed: int = 11, near: float = NEAR
 ) -> DataFrame:
-    """(id, th, keep_id, keep_th) of every document in a group of at least two."""
+    """(id, th, keep_id, keep_th) of every document that has candidates; those that stay keep themselves."""
     fps = cut(fingerprints(docs, id_col, text_col).where("fp is not null"), "fingerprints")
-    one = cut(fps.groupBy("fp").agg(F.count("*").alias("n")).repartition("fp"), "distinct")
+    one = cut(fps.groupBy("fp").agg(F.count_distinct("id", "th").alias("n"), F.count_if(F.col("id").isNull()).alias("m")).repartition("fp"), "distinct")
     edges = candidate_edges(one.select("fp"), distance, recall, seed)
-    root = connected_components(edges.select("a", "b"))
-    docs_root = (
-        fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).distinct()
-    )
-    who = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
-    least = docs_root.groupBy("root").agg(F.min(who).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    return docs_root.join(least, "root").select("id", "th", F.col("keep.id").alias("keep_id"), F.col("keep.th").alias("keep_th"))
+    root = cut(connected_components(edges.select("a", "b")), "roots")
+    alone = one.where("n + m > 1").join(root.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root"))
+    root = root.select(F.col("node").alias("fp"), "root").unionByName(alone)
+    members = fps.join(root, "fp").select("root", F.col("id").isNull().alias("no_id"), "id", "th", "sketch").dropDuplicates(["root", "no_id", "id", "th"])
+    return settled(members, near)
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:

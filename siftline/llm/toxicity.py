@@ -3,28 +3,36 @@
 Fit. A bounded sample of labelled documents (``sample`` a class, by hash of id)
 is counted by documents that hold each word. A word's score is its log odds
 between toxic and other documents under an informative Dirichlet prior that
-weighs ``prior`` of the sample; words whose z value is below ``z`` are not
-scored. Every word pays ``drift``, so a document's expected score is negative.
+weighs ``prior`` of the sample. It is drawn towards 0 as its evidence (Chernoff's
+bound of how its documents fall to the classes) nears what ``chance`` words of
+the vocabulary reach by luck: few labels give lower scores, not none. Every word
+pays ``drift``, so a document's expected score is negative.
 
 Scan. All maximal-scoring segments of a document (Ruzzo and Tompa) are found in
 linear time; between scored words only the sum matters, so long texts cost
 little. A segment of score S in m words has the E value K m exp(-lambda S):
 lambda solves sum p exp(lambda s) = 1 over the other documents' words, K is
-its maximum-likelihood value over their best segments. A document's p value
+its maximum-likelihood value over their best segments. Both are taken out of
+sample: the labelled documents are split into ``FOLDS`` parts by hash, and each
+part is measured by scores fit on the others. A document's p value
 combines its r best segments by the Poisson sum statistic, at the r where it is
 least, halved for each r. Documents at or below ``alpha`` are toxic.
 
 Cases: null and empty texts, and texts without words, have no passages. Rows are
 scanned as often as they occur; ids may be null. Words are runs of letters,
 digits, underscores and non-ASCII bytes, ASCII case folded. Copies and near
-copies of a text count once in the fit; several labels of an id count as toxic if any is. No
-labels of a class, or no scored words: no document is toxic. Ties between
-segments keep the text's order. Further columns are ignored.
+copies of a text count once in the fit; several labels of an id count as toxic if any is.
+Labels of one class only, none at all, or labels whose words don't tell the
+classes apart even after the prior: nothing can be learned, no document is
+toxic, and a warning says so. A small set of labels of both classes is fit like
+a large one. Ties between segments keep the text's order. Further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +42,8 @@ from pyspark.sql import functions as F
 from siftline.llm import kernels as K
 from siftline.plans.scratch import cut
 
-SAMPLE, PRIOR, Z, DRIFT, ALPHA = 10_000, 0.05, 4.0, 0.05, 0.01
+SAMPLE, PRIOR, CHANCE, DRIFT, ALPHA = 10_000, 0.05, 1.0, 0.05, 0.01
+FOLDS = 5
 OUT = "doc_id long, start_word int, end_word int, score double, e_value double, doc_p double"
 
 
@@ -48,25 +57,26 @@ def _words(batch, column: str = "text"):
 
 
 def _frequencies(batches):
-    """(toxic, text) → (word, documents that hold it, by class); word 0 with n the documents and tokens."""
+    """(toxic, fold, text) → (word, fold, documents that hold it, by class)."""
     np.seterr(over="ignore")
     parts = []
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy()
+        toxic, fold = batch.column("toxic").to_numpy(), batch.column("fold").to_numpy()
         for i, j, h, first in _words(batch):
             doc = np.repeat(np.arange(j - i), np.diff(first))
             key = np.stack([doc, (h >> K.U(1)).view(np.int64)], 1)
             order = np.lexsort((key[:, 1], key[:, 0]))
             key = key[order]
             key = key[np.r_[True, (key[1:] != key[:-1]).any(1)]] if len(key) else key
-            parts.append((key[:, 1], toxic[i:j][key[:, 0]].astype(np.int64)))
-    if parts:
-        w, t = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        u, back = np.unique(w, return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(u), pa.array(np.bincount(back, weights=t, minlength=len(u)).astype(np.int64)), pa.array(np.bincount(back, weights=1 - t, minlength=len(u)).astype(np.int64))],
-            names=["word", "toxic", "other"],
-        )
+            parts.append((key[:, 1], fold[i:j][key[:, 0]], toxic[i:j][key[:, 0]].astype(np.int64)))
+    if not parts:
+        return
+    w, f, t = (np.concatenate(x) for x in zip(*parts))
+    for k in range(FOLDS):
+        mine = f == k
+        u, back = np.unique(w[mine], return_inverse=True)
+        n = [np.bincount(back, weights=x, minlength=len(u)).astype(np.int64) for x in (t[mine], 1 - t[mine])]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.full(len(u), k, np.int32)), *map(pa.array, n)], names=["word", "fold", "toxic", "other"])
 
 
 _MINS = 3
@@ -89,7 +99,7 @@ def _min_shingles(batches):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled documents a class.
+    """(label, fold, text) of at most ``sample`` labelled documents a class.
 
     Copies and near copies count once, or every word of a toxic text with many
     copies would look toxic: texts that agree in the least of their word pairs
@@ -108,39 +118,68 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         best = F.max(F.struct("label", "h", *(f"m{j}" for j in range(_MINS))))
         left = left.groupBy(F.col(f"m{k}").alias("m")).agg(best.alias("b")).select("b.*")
     kept = F.broadcast(left.select("h").distinct())  # at most 2 * sample rows
-    return rows.join(kept, "h", "left_semi").dropDuplicates(["h"]).select("label", "text")
+    return rows.join(kept, "h", "left_semi").dropDuplicates(["h"]).select("label", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds, z) of words with these counts, under a Dirichlet prior in proportion to their sum."""
+def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log odds of words with these counts, under a Dirichlet prior in proportion to the mean of their rates in both classes.
+
+    The prior weighs ``prior`` of each class, so the share of toxic documents
+    among the labels doesn't shift the odds.
+    """
     n, m = toxic.sum(), other.sum()
-    a = prior * (toxic + other)
-    total = prior * (n + m)
-    odds = np.log((toxic + a) / (n + total - toxic - a)) - np.log((other + a) / (m + total - other - a))
-    return odds, odds / np.sqrt(1 / (toxic + a) + 1 / (other + a))
+    rate = prior * (toxic / n + other / m) / 2
+    x, y = toxic / n + rate, other / m + rate
+    return np.log(x / (1 + prior - x)) - np.log(y / (1 + prior - y))
+
+
+def evidence(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Chernoff's bound of -ln P that a word's occurrences fall so far to one class by chance."""
+    q, n = toxic.sum() / (toxic.sum() + other.sum()), toxic + other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(toxic > 0, toxic * np.log(toxic / (n * q)), 0) + np.where(other > 0, other * np.log(other / (n * (1 - q))), 0)
+    return np.maximum(out, 0)
+
+
+def word_scores(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, chance: float = CHANCE) -> np.ndarray:
+    """Log odds, drawn towards 0 by the share of a word's evidence that ``chance`` in as many words would give."""
+    out, some = np.zeros(len(toxic)), (toxic + other) > 0
+    if toxic.sum() and other.sum():
+        e = evidence(toxic[some], other[some])
+        out[some] = log_odds(toxic[some], other[some], prior) * np.maximum(0, 1 - np.log(some.sum() / chance) / np.maximum(e, 1e-9))
+    return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a sequence, in order."""
+    """All maximal-scoring segments (start, end, score) of a sequence, in order.
+
+    Ruzzo and Tompa's algorithm in linear time: each kept segment links to the
+    nearest one before it whose sum before is less, and a new segment looks for
+    its own along those links instead of walking the list.
+    """
     total = 0.0
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    start, end, before, after, link = [], [], [], [], []
     for i, s in enumerate(scores.tolist()):
         if s <= 0:
             total += s
             continue
-        start, left = i, total
+        a, x = i, total
         total += s
-        end, right = i + 1, total
+        j = len(start) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= left:
-                j -= 1
-            if j < 0 or kept[j][3] >= right:
-                kept.append((start, end, left, right))
+            while j >= 0 and before[j] >= x:
+                j = link[j]
+            if j < 0 or after[j] >= total:
                 break
-            start, left = kept[j][0], kept[j][2]
-            del kept[j:]
-    return [(a, b, r - x) for a, b, x, r in kept]
+            a, x, nxt = start[j], before[j], link[j]
+            del start[j:], end[j:], before[j:], after[j:], link[j:]
+            j = nxt
+        start.append(a)
+        end.append(i + 1)
+        before.append(x)
+        after.append(total)
+        link.append(j)
+    return [(a, b, r - x) for a, b, x, r in zip(start, end, before, after)]
 
 
 def _scan_doc(h: np.ndarray, words: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -190,19 +229,19 @@ def sum_p(scores: list[float], lam: float, k: float, m: int) -> float:
     return min(1.0, best)
 
 
-def _maxima(words, score, drift):
-    """Other documents of the sample → (words, best score)."""
+def _maxima(words, scores, drift):
+    """Other documents of the sample → (words, best score), each by the scores that its own part didn't enter."""
 
     def run(batches):
         np.seterr(over="ignore")
         for batch in batches:
-            m, best = [], []
+            fold, m, best = batch.column("fold").to_numpy(), [], []
             for i, j, h, first in _words(batch):
                 h = (h >> K.U(1)).view(np.int64)
                 for k in range(j - i):
                     d = h[first[k] : first[k + 1]]
                     m.append(len(d))
-                    best.append(max([0.0, *(x for *_, x in _scan_doc(d, words, score, drift))]))
+                    best.append(max([0.0, *(x for *_, x in _scan_doc(d, words, scores[fold[i + k]], drift))]))
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(best, pa.float64())], names=["m", "best"])
 
     return run
@@ -217,29 +256,33 @@ class Fit:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, prior: float = PRIOR, z: float = Z, drift: float = DRIFT,
+    sample: int = SAMPLE, prior: float = PRIOR, chance: float = CHANCE, drift: float = DRIFT,
 ) -> Fit | None:
     some = cut(sampled(docs, labels, id_col, text_col, label_col, sample), "sample")
-    counted = some.select(F.col("label").alias("toxic"), "text").mapInArrow(_frequencies, "word long, toxic long, other long")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    t = counted.where("toxic + other >= 3").toPandas()  # words of a sample of bounded size
-    toxic, other = t["toxic"].to_numpy(np.float64), t["other"].to_numpy(np.float64)
-    if not len(t) or not toxic.sum() or not other.sum():
-        return None
-    odds, value = log_odds(toxic, other, prior)
-    keep = np.abs(value) >= z
-    if not (odds[keep] > drift).any():
+    counted = some.select(F.col("label").alias("toxic"), "fold", "text").mapInArrow(_frequencies, "word long, fold int, toxic long, other long")
+    t = counted.groupBy("word", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()  # words of a sample of bounded size
+    words, at = np.unique(t["word"].to_numpy(), return_inverse=True)
+    by_fold = np.zeros((2, FOLDS, len(words)))
+    for k, c in enumerate(("toxic", "other")):
+        by_fold[k, t["fold"].to_numpy(), at] = t[c].to_numpy(np.float64)
+    toxic, other = by_fold.sum(1)
+    score = word_scores(toxic, other, prior, chance) if len(words) else np.zeros(0)
+    if not (score > drift).any():
+        warnings.warn("the labels don't tell toxic words from others; no document will be found toxic", stacklevel=2)
         return None
-    order = np.argsort(t["word"].to_numpy()[keep])
-    words, score = t["word"].to_numpy()[keep][order], odds[keep][order]
-    p = ((other + 0.5) / (other.sum() + 0.5 * len(other)))[keep][order]
-    s = np.r_[score - drift, -drift]
-    p = np.r_[p, max(0.0, 1 - p.sum())]
-    if (p * s).sum() >= 0:
-        drift += float((p * s).sum()) + DRIFT
-        s = np.r_[score - drift, -drift]
-    lam = solve_lambda(p, s)
-    clean = some.where("label = 0").mapInArrow(_maxima(words, score, drift), "m long, best double").where("m > 0")
+    cross = np.stack([word_scores(*(by_fold.sum(1) - by_fold[:, k]), prior, chance) for k in range(FOLDS)])
+    keep = (score != 0) | (cross != 0).any(0)
+    words, score, cross = words[keep], score[keep], cross[:, keep]
+    n = by_fold[1].sum()
+    p, s = (by_fold[1][:, keep] / n).ravel(), cross.ravel()
+    p, s = np.r_[p, max(0.0, 1 - p.sum())], np.r_[s, 0.0]
+    if (p * (s - drift)).sum() >= 0:
+        drift += float((p * (s - drift)).sum()) + DRIFT
+    if not (s[p > 0] > drift).any():  # no other document scores out of sample: by all scores, and half a document a word
+        p = (other[keep] + 0.5) / (n + 0.5 * keep.sum())
+        p, s = np.r_[p, max(0.0, 1 - p.sum())], np.r_[score, 0.0]
+    lam = solve_lambda(p, s - drift)
+    clean = some.where("label = 0").mapInArrow(_maxima(words, cross, drift), "m long, best double").where("m > 0")
     r = clean.agg(F.count("*").alias("n"), F.sum(F.col("m") * F.exp(-lam * F.col("best"))).alias("x")).first()
     return Fit(words, score, drift, lam, r.n / r.x if r.x else 1.0)
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from siftline.llm import ngram_lm, queries, word_lm
@@ -9,50 +10,45 @@ from siftline.llm import ngram_lm, queries, word_lm
 S, E = "<s>", ""
 
 
-def brute(texts, score, leave_out):
-    """Plain-Python word trigram Kneser-Ney: log p of ``score``, whose counts are left out with ``leave_out``."""
+def brute(texts, score, leave_out, order=3):
+    """Plain-Python word Kneser-Ney: log p of ``score``, whose counts are left out with ``leave_out``."""
 
     def tables(ts):
-        c3, c1 = Counter(), Counter()
+        top = Counter()
         for t in ts:
-            w = [S, S, *t.split(), E]
-            c1.update(w[2:])
-            c3.update(zip(w, w[1:], w[2:]))
-        c2 = Counter((b, c) for _, b, c in c3)
-        return c3, c2, c1 if leave_out else Counter(c for _, c in c2)
+            w = [S] * (order - 1) + [*t.split(), E]
+            top.update(zip(*(w[k:] for k in range(order))))
+        out = [top]
+        for _ in range(order - 1):
+            out.append(Counter(g[1:] for g in out[-1]))
+        return out
 
     def disc(t):
         cc = Counter(t.values())
         return ngram_lm.discounts(cc[1], cc[2], cc[3], cc[4])
 
-    full = tables(texts)
-    d = [disc(t) for t in full]
+    d = [disc(t) for t in tables(texts)]
     rest = list(texts)
     if leave_out:
         rest.remove(score)
-    c3, c2, c1 = tables(rest)
-
-    def weights(t, dd, ctx):
+    counts, sums = tables(rest), []
+    for t, dd in zip(counts, d):
         total, left = defaultdict(int), defaultdict(float)
         for g, n in t.items():
-            total[ctx(g)] += n
-            left[ctx(g)] += dd[min(n, 3) - 1]
-        return total, left
-
-    w3, w2, w1 = weights(c3, d[0], lambda g: g[:2]), weights(c2, d[1], lambda g: g[:1]), weights(c1, d[2], lambda g: "")
-
-    def step(t, w, dd, g, ctx, lower):
-        if not w[0][ctx]:
-            return lower
-        n = t[g]
-        return (max(n - dd[min(n, 3) - 1], 0) if n else 0) / w[0][ctx] + w[1][ctx] / w[0][ctx] * lower
+            total[g[:-1]] += n
+            left[g[:-1]] += dd[min(n, 3) - 1]
+        sums.append((total, left))
 
-    w = [S, S, *score.split(), E]
+    w = [S] * (order - 1) + [*score.split(), E]
     out = 0.0
-    for a, b, c in zip(w, w[1:], w[2:]):
-        p = step(c1, w1, d[2], c, "", 257.0 ** -(len(c.encode()) + 1))
-        p = step(c2, w2, d[1], (b, c), (b,), p)
-        out += math.log(step(c3, w3, d[0], (a, b, c), (a, b), p))
+    for g in zip(*(w[k:] for k in range(order))):
+        p = 257.0 ** -(len(g[-1].encode()) + 1)
+        for k in reversed(range(order)):
+            t, (total, left), n = counts[k], sums[k], counts[k][g[k:]]
+            ctx = g[k:-1]
+            if total[ctx]:
+                p = (max(n - d[k][min(n, 3) - 1], 0) if n else 0) / total[ctx] + left[ctx] / total[ctx] * p
+        out += math.log(p)
     return out
 
 
@@ -64,17 +60,20 @@ def texts(seed=4):
 
 
 @pytest.mark.parametrize("leave_out", [False, True])
-@pytest.mark.parametrize("group", [None, "lang"])
-def test_matches_brute_force(spark, monkeypatch, leave_out, group):
+@pytest.mark.parametrize("group,order", [(None, 3), ("lang", 3), ("lang", 2)])
+def test_matches_brute_force(spark, monkeypatch, leave_out, group, order):
     monkeypatch.setattr(word_lm, "_BUCKET", 500)
+    monkeypatch.setattr(word_lm, "_SHARD", 1500)
+    monkeypatch.setattr(word_lm, "_RUN", 700)
+    monkeypatch.setattr(word_lm, "_PIECE", 900)
     rows = [(k, t, ["en", "fr", None][k % 3]) for k, t in enumerate(texts())] + [(900, None, "en"), (1, "x", "fr"), (7, "x", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    got = word_lm.score(df, group_col=group, leave_out=leave_out).collect()
+    got = word_lm.score(df, group_col=group, leave_out=leave_out, order=order).collect()
     want = []
     for i, t, g in rows:
         if t is not None:
             own = [x for _, x, y in rows if x is not None and (group is None or y == g)]
-            want.append((i, len(t.encode()) + 1, brute(own, t, leave_out)))
+            want.append((i, len(t.encode()) + 1, brute(own, t, leave_out, order)))
     assert [r[:2] for r in sorted(want)] == [(r.id, r.n) for r in sorted(got, key=lambda r: (r.id, r.n))]
     assert [r[2] for r in sorted(want)] == pytest.approx([r.log_p for r in sorted(got, key=lambda r: (r.id, r.n, r.log_p))], rel=1e-6)
 
@@ -92,6 +91,28 @@ def test_op6_sees_shuffled_words(spark, tmp_path):
     assert got[1000] > 1.3 * max(p for k, p in got.items() if k < 1000)
 
 
+def test_store_keeps_large_counts(tmp_path):
+    rng = np.random.default_rng(1)
+    key = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    values = rng.integers(0, 300, (len(key), 3)) ** rng.integers(1, 5, (len(key), 1))
+    word_lm._save(f"{tmp_path}/x", key, values)
+    store = word_lm.Store(f"{tmp_path}/x")
+    at = rng.permutation(len(key))
+    assert (store.values(at) == values[at]).all() and (store.find(key[at]) == at).all()
+    assert store.find(key[:3] + np.uint64(1)).tolist() == [-1] * 3
+    parts = [np.sort(key), key * np.uint64(3), np.zeros(len(key), np.uint64)]
+    assert all((a == b).all() for a, b in zip(word_lm._dec(*word_lm._enc(parts)), parts))
+
+
+def test_other_texts_by_a_trained_model(spark):
+    """N-grams that the model has counted once count as unseen: Kneser-Ney with those pruned never beats the known text."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d", "a b c e", "q r s t"] * 2)], "doc_id long, text string")
+    folder = word_lm.train(docs)
+    new = spark.createDataFrame([(1, "a b c d"), (2, "a b c zz"), (3, "zz yy xx"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.id: r.log_p / r.n for r in word_lm.score(new, folder=folder, counted=False).collect()}
+    assert set(got) == {1, 2, 3, 5} and got[1] > got[2] > got[3]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     for leave_out in (False, True):
