@@ -6,10 +6,10 @@ without comparing all pairs, each repetition draws a random order of the
 coordinates and cuts it into strips. On the first strip, random centres filter
 the fingerprints by partial weight: a list keeps those whose strip, XORed with
 the centre, weighs at most ``weight`` bits. The lists are counted; one that is
-longer than ``LONG`` is filtered again on the next strip by finer centres, and
+longer than ``LONG`` is filtered again on the next strip by further centres, and
 so on by their real sizes down to the depth of the plan, after which lists are
 searched by brute force (a list that is still long in blocks, one task for each
-pair of blocks). :func:`plan` picks weight, centres and repetitions so that a
+pair of blocks). :func:`plan` picks weights, centres, depth and repetitions so that a
 pair at the full distance meets in a final list with probability ``recall`` at
 the greatest depth; closer pairs, and pairs in lists that end earlier, meet
 more often.
@@ -34,6 +34,7 @@ number is an error. Further columns are ignored by the search and kept by
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from itertools import product
 from math import ceil, comb, log
 
 import numpy as np
@@ -52,8 +53,9 @@ RECALL = 0.98
 #: Least similarity of word sets of a copy and the document that stays.
 NEAR = 0.6
 BINS = 256
-#: Longer lists are filtered again, by centres of this weight and number.
+#: Longer lists are filtered again, by centres of a plan's weight and number, or else these.
 LONG, FINE = 1024, (9, 1024)
+CLUSTERED = 5
 #: Rows of a block of a final list, documents that may stay a round, and documents of a group a task.
 BLOCK, STARS, GROUP = 8192, 256, 20_000
 
@@ -135,9 +137,15 @@ def _p_both(weight: int, apart: int) -> float:
 
 
 @lru_cache(None)
-def _meets(weight: int, centres: int, depth: int, distance: int) -> float:
+def _each(weight: int, centres: int) -> list[float]:
+    """Chance that some centre keeps both of two strips, by the bits they differ in."""
+    return [1 - (1 - _p_both(weight, j)) ** centres for j in range(STRIP + 1)]
+
+
+@lru_cache(None)
+def _meets(weight: int, centres: int, depth: int, distance: int, fine: tuple[int, int] = FINE) -> float:
     """Chance that a pair at ``distance`` shares a final list of one repetition, at ``depth``."""
-    each = [[1 - (1 - _p_both(w, j)) ** c for j in range(STRIP + 1)] for w, c in ((weight, centres), FINE)]
+    each = [_each(weight, centres), _each(*fine)]
 
     @lru_cache(None)
     def walk(level: int, bits: int, apart: int) -> float:
@@ -157,66 +165,83 @@ def _kept(weight: int) -> float:
     return sum(comb(STRIP, k) for k in range(weight + 1)) / 2**STRIP
 
 
+@lru_cache(None)
 def plan(n: int, distance: int = DISTANCE, recall: float = RECALL) -> dict:
-    """Cheapest (weight, centres, repeats) of the first filter that reaches ``recall`` over ``n`` fingerprints.
+    """Cheapest filters that reach ``recall`` over ``n`` fingerprints.
 
-    ``depth`` is the greatest depth of a list: that at which ``n`` random
-    fingerprints give lists below ``LONG``, at least 2, so that a list that real
-    fingerprints make long can be refined.
+    ``weight`` and ``centres`` of the first level, ``fine`` those of the deeper
+    ones, ``repeats``, and ``depth``, the greatest depth of a list: 2 or more, so
+    that a list that real fingerprints make long can be refined. ``CLUSTERED``
+    is how many times longer than random ones' their lists are taken to be.
     """
-    best, fine = None, _kept(FINE[0])
-    for weight in range(4, 11):
-        p = _kept(weight)
-        need = 1
-        while n * p * fine ** (need - 1) > LONG and need < BITS // STRIP:
-            need += 1
-        for centres in (64, 256, 1024):
-            depth = max(2, need)
-            meets = _meets(weight, centres, depth, distance)
+    best = None
+    for depth in (2, 3, 4):
+        for weight, centres, fine in product(range(6, 14), (16, 64, 256), product(range(8, 14), (16, 64))):
+            meets = _meets(weight, centres, depth, distance, fine)
             if meets < 1e-5:
                 continue
             repeats = max(1, ceil(log(1 - recall) / log(max(1e-12, 1 - meets))))
             if repeats >= 4096:
                 continue
-            copies = repeats * centres * p * (FINE[1] * fine) ** (need - 1)
-            compared = copies * n * p * fine ** (need - 1)
-            cost = n * repeats * centres * 2e-9 + n * copies * 2e-6 + n * compared * 4e-9
+            copies, share, walked = float(repeats), 1.0, repeats * 5e-8
+            for w, c in [(weight, centres)] + [fine] * (depth - 1):
+                walked += copies * c * 4e-9
+                copies, share = copies * c * _kept(w), share * _kept(w)
+            cost = 3 * walked + copies * 3e-6 + copies * n * share * CLUSTERED * 2e-9
             if best is None or cost < best["cost"]:
-                best = {"cost": cost, "depth": depth, "weight": weight, "centres": centres, "repeats": repeats, "copies": copies}
+                best = {"cost": cost, "depth": depth, "weight": weight, "centres": centres, "fine": fine, "repeats": repeats, "copies": copies}
     return best
 
 
+def _strips(order: np.ndarray, depth: int) -> np.ndarray:
+    """(pairs of strips, 16, 256): what each byte of a fingerprint adds to each two strips of an order of the coordinates."""
+    out = np.zeros(((depth + 1) // 2, 16, 256), np.uint64)
+    value = np.arange(256, dtype=np.uint64)
+    for place, bit in enumerate(order[: STRIP * depth].tolist()):
+        at, shift = divmod(place, 2 * STRIP)
+        out[at, bit // 8] |= ((value >> K.U(7 - bit % 8)) & K.U(1)) << K.U(shift)
+    return out
+
+
 def _walk(how: dict, seed: int, long: list[np.ndarray]):
-    """Fingerprints → (lists, rows) that keep them, descending below the ``long`` lists of each level.
+    """Fingerprints → (lists, rows) that keep them at each level, descending below the ``long`` lists of each.
 
     A list's name has a digit for each level: repetition, then centre + 1.
     """
     rng = np.random.default_rng(seed)
-    order = [rng.permutation(BITS) for _ in range(how["repeats"])]
-    shape = [(how["weight"], how["centres"])] + [FINE] * (how["depth"] - 1)
+    shape = [(how["weight"], how["centres"])] + [how.get("fine", FINE)] * (how["depth"] - 1)
     base = max(c for _, c in shape) + 1
+    order = [rng.permutation(BITS) for _ in range(how["repeats"])]
     centre = [[rng.integers(0, 2**32, c, dtype=np.uint32) for _, c in shape] for _ in order]
+    table = [_strips(o, how["depth"]) for o in order]
 
-    def lists(fp: np.ndarray, level: int):
-        """(lists, rows) at ``level``: all of the first level, or the children of long lists."""
-        bits = np.unpackbits(fp, axis=1)
-        keys, rows = [], []
-        for rep, (o, c) in enumerate(zip(order, centre)):
+    def lists(fp: np.ndarray):
+        """(lists, rows, whether long) of each level down to that below the last ``long``."""
+        columns = np.ascontiguousarray(fp.T).astype(np.intp)
+        found = [([], [], []) for _ in range(len(long) + 1)]
+        for rep, (t, c) in enumerate(zip(table, centre)):
             key, row = np.full(len(fp), rep + 1, np.int64), np.arange(len(fp))
-            for lv in range(level + 1):
-                strips = np.ascontiguousarray(np.packbits(bits[:, o[STRIP * lv : STRIP * (lv + 1)]], axis=1)).view(np.uint32)[:, 0]
-                if lv:
-                    at = np.searchsorted(long[lv - 1], key)
-                    at[at == len(long[lv - 1])] = 0
-                    go = long[lv - 1][at] == key
-                    key, row = key[go], row[go]
-                    if not len(key):
-                        break
-                i, j = np.nonzero(np.bitwise_count(strips[row, None] ^ c[lv][None, :]) <= shape[lv][0])
+            two = []
+            for lv in range(len(long) + 1):
+                if lv % 2 == 0:
+                    both = t[lv // 2][0][columns[0]]
+                    for k in range(1, 16):
+                        both |= t[lv // 2][k][columns[k]]
+                    two = both.view(np.uint32).reshape(-1, 2)
+                strips = two[:, lv % 2] if not lv else two[row, lv % 2]
+                i, j = np.nonzero(np.bitwise_count(strips[:, None] ^ c[lv][None, :]) <= shape[lv][0])
                 key, row = key[i] * base + j + 1, row[i]
-            keys.append(key)
-            rows.append(row)
-        return np.concatenate(keys), np.concatenate(rows)
+                go = np.zeros(len(key), bool)
+                if lv < len(long) and len(long[lv]):
+                    at = np.searchsorted(long[lv], key)
+                    at[at == len(long[lv])] = 0
+                    go = long[lv][at] == key
+                for x, y in zip(found[lv], (key, row, go)):
+                    x.append(y)
+                key, row = key[go], row[go]
+                if not len(key):
+                    break
+        return [tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in level) for level in found]
 
     return lists
 
@@ -229,7 +254,7 @@ def _counts(how: dict, seed: int, long: list[np.ndarray]):
         for batch in batches:
             fp = _bytes(batch.column("fp"), 16)
             for at in range(0, len(fp), 4096):
-                k, c = np.unique(walk(fp[at : at + 4096], len(long))[0], return_counts=True)
+                k, c = np.unique(walk(fp[at : at + 4096])[-1][0], return_counts=True)
                 held.append(k)
                 n.append(c)
             if held and sum(map(len, held)) > 1 << 20:
@@ -258,13 +283,9 @@ def _lists(how: dict, seed: int, long: list[np.ndarray], blocks: dict[int, int])
             fp = _bytes(batch.column("fp"), 16)
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
-                for level in range(len(long) + 1):
-                    keys, rows = walk(part, level)
-                    if level < len(long):
-                        i = np.searchsorted(long[level], keys)
-                        i[i == len(long[level])] = 0
-                        end = (long[level][i] != keys) if len(long[level]) else np.ones(len(keys), bool)
-                        keys, rows = keys[end], rows[end]
+                for keys, rows, go in walk(part):
+                    end = ~go.astype(bool)
+                    keys, rows = keys[end], rows[end]
                     pair, side = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int8)
                     if len(wide) and len(keys):
                         i = np.searchsorted(wide, keys)
@@ -358,6 +379,11 @@ def _search(distance: int, pairs: bool):
     return run
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """``fp`` over as many tasks as the session shuffles into."""
+    return fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def refined(fps: DataFrame, how: dict, seed: int, longest: int = LONG) -> tuple[list[np.ndarray], dict[int, int]]:
     """(long lists of each level that are filtered again, blocks of final lists that stay long).
 
@@ -365,7 +391,7 @@ def refined(fps: DataFrame, how: dict, seed: int, longest: int = LONG) -> tuple[
     as ``longest`` rises with the rows, so what the driver holds is bounded.
     """
     long: list[np.ndarray] = []
-    rows = fps.select("fp")
+    rows = _spread(fps)
     limit, deep = longest, how["depth"]
     while True:
         n = rows.mapInArrow(_counts(how, seed, long), "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
@@ -390,7 +416,7 @@ def candidate_edges(
     long, blocks = refined(fps, how, seed, longest)
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n * how["copies"] // 2_000_000))
     return (
-        fps.select("fp").mapInArrow(_lists(how, seed, long, blocks), "list long, part long, side byte, fp binary")
+        _spread(fps).mapInArrow(_lists(how, seed, long, blocks), "list long, part long, side byte, fp binary")
         .repartition(parts, "list", "part")
         .sortWithinPartitions("list", "part")
         .drop("side")

@@ -46,8 +46,8 @@ def test_recursion_depth_keeps_recall(depth):
     import pyarrow as pa
 
     lists, both = [], np.concatenate([base, np.packbits(bits, axis=1)])
-    for level in range(depth - 1):  # every list counts as long
-        long.append(np.unique(simhash._walk(how, 1, long)(both, level)[0]))
+    for _ in range(depth - 1):  # every list counts as long
+        long.append(np.unique(simhash._walk(how, 1, long)(both)[-1][0]))
     for x in (base, np.packbits(bits, axis=1)):
         seen = [set() for _ in range(400)]
         row = {bytes(v): k for k, v in enumerate(x)}
