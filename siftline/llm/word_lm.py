@@ -53,7 +53,7 @@ from siftline.plans.scratch import new_path, release
 START, END = K.U(0x5354415254), K.U(0x454E44)
 SPELLED = np.log(257.0)
 #: Bytes of text a run of counting, of scoring, a bucket of n-grams and a shard of the vocabulary.
-_RUN, _PIECE, _BUCKET, _SHARD = 4 << 20, 2 << 20, 8 << 20, 64 << 20
+_RUN, _PIECE, _BUCKET, _SHARD = 4 << 20, 4 << 20, 8 << 20, 64 << 20
 _BLOB = "bucket int, size long, data binary"
 
 
@@ -127,7 +127,7 @@ class Store:
     """Memory-mapped counts written by :func:`_save`."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         keys, n, c, more = (int(x) for x in raw[:32].view(np.int64))
         at = 32 + 8 * keys
         self.key, self.at, self.more = raw[32:at].view(np.uint64), raw[at : at + 8 * more].view(np.int64), raw[at + 8 * more : at + 16 * more].view(np.int64)
@@ -203,11 +203,10 @@ def _texts(batch, limit: int):
             yield name, salt, rows[i:j], *_sequence(buf[off[i] : off[j]], off[i : j + 1] - off[i], salt)
 
 
-def _grams(words: Words, h: np.ndarray, at: np.ndarray, salt, order: int) -> list[np.ndarray]:
-    """Numbers of the words of each n-gram, the last word last."""
+def _grams(words: Words, h: np.ndarray, at: np.ndarray, salt, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of the distinct words, and which of them each n-gram has, the last word last."""
     u, code = np.unique(np.r_[K.mix(START ^ salt), h], return_inverse=True)
-    ids = words.ids(u)[code]
-    start, last = ids[0], ids[1:]
+    start, last = code[0], code[1:]
     out = [last]
     for back in range(1, order):
         w = np.r_[np.full(min(back, len(last)), start), last[: len(last) - back]]
@@ -215,7 +214,7 @@ def _grams(words: Words, h: np.ndarray, at: np.ndarray, salt, order: int) -> lis
             some = at[:-1][np.diff(at) > k] + k
             w[some] = start
         out.insert(0, w)
-    return out
+    return words.ids(u), out
 
 
 def _vocabulary(bits: int, groups: list):
@@ -250,12 +249,22 @@ def _number(folder: str):
     return run
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A position of each distinct key in their order, and each row's key."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    code = np.empty(len(key), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return order[new], code
+
+
 def _code(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First positions of the distinct pairs, and each row's pair; in order of the pairs while numbers are below 2 ** 32."""
+    """A position of each distinct pair, and each row's pair; in order of the pairs while numbers are below 2 ** 32."""
     big = max(int(a.max()), int(b.max())) >= 1 << 32 if len(a) else False
     a, b = a.astype(np.uint64), b.astype(np.uint64)
-    _, at, code = np.unique(K.pair(a, b) if big else (a << K.U(32)) | b, return_index=True, return_inverse=True)
-    return at, code
+    return _distinct(K.pair(a, b) if big else (a << K.U(32)) | b)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -276,7 +285,8 @@ def _count(folder: str, order: int, buckets: int):
         words = Words(folder)
         for batch in batches:
             for _, salt, _, h, _, at in _texts(batch, _RUN):
-                w = _grams(words, h, at, salt, order)
+                ids, w = _grams(words, h, at, salt, order)
+                w = [ids[x] for x in w]
                 first, code = _code(w[0], w[1])
                 b = _bucket(K.pair(w[0][first].astype(np.uint64), w[1][first].astype(np.uint64)), buckets)
                 rank = np.empty(len(first), np.int64)
@@ -452,7 +462,7 @@ class Model:
         """(n, columns) counts; ``absent`` where the store doesn't hold the key."""
         out = np.empty((len(key), columns), np.int64)
         out[:] = absent
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             if (what, k) not in self.stores:
@@ -492,44 +502,44 @@ def _piece(m: Model, name, salt, h, size, at, leave_out: bool, counted: bool) ->
     one = 1 if counted else 0
     info = m.info[name]
     d = [np.r_[0.0, x] for x in info["d"]]
-    w = [x.astype(np.uint64) for x in _grams(m.words, h, at, salt, m.order)]
+    ids, w = _grams(m.words, h, at, salt, m.order)
+    seen = np.zeros((len(ids), 5), np.int64)  # left extensions and sums as a context of each distinct word
+    seen[ids >= 0] = m.words.values(m.uni, ids[ids >= 0], 5)
+    ids = ids.astype(np.uint64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     row = np.arange(len(doc))  # position → row of the current order
     p, rest, share = np.zeros(len(doc)), np.ones(len(doc)), None
     if leave_out:
-        key = w[-1]
+        key = w[-1].astype(np.uint64)
         for x in reversed(w[:-1]):
-            key = K.pair(x, key)
-        _, first, row, own = np.unique(K.pair(key, doc.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+            key = K.pair(x.astype(np.uint64), key)
+        first, row = _distinct(K.pair(key, doc.astype(np.uint64)))
+        own = np.bincount(row, minlength=len(first))
         w, doc, share = [x[first] for x in w], doc[first], own
     for k in range(m.order, 1, -1):
         if k == 3:
-            ctx = K.pair(w[0], w[1])
+            ctx = K.pair(ids[w[0]], ids[w[1]])
             b = _bucket(ctx, m.buckets)
-            n = m.find("g3", b, K.pair(ctx, w[2]), 1, [one])[:, 0]
+            n = m.find("g3", b, K.pair(ctx, ids[w[2]]), 1, [one])[:, 0]
             sums = m.find("x3", b, ctx, 4, [one, one, 0, 0])
         else:
-            ctx, last = w[-2], w[-1]
-            key = K.pair(ctx, last)
+            ctx = w[-2].astype(np.uint64)
+            key = K.pair(ids[w[-2]], ids[w[-1]])
             n = m.find("g2", _bucket(key, m.buckets), key, 1, [one])[:, 0]
-            sums = np.zeros((len(ctx), 4), np.int64)
-            known = ctx.view(np.int64) >= 0
-            sums[known] = m.words.values(m.uni, ctx[known].astype(np.int64), 5)[:, 1:]
+            sums = seen[w[-2], 1:]
         own, weight = _level(n, share, d[k - 1], ctx, doc, sums)
         p, rest = p + rest * own[row], rest * weight[row]
         # the next order: distinct (document, shorter n-gram), of which those extensions go that only the document has
         if share is not None:
             gone = (n == share).astype(np.int64)
             w = w[1:] if k == 3 else [w[-1]]
-            key = K.pair(w[0], w[1]) if len(w) == 2 else w[0]
-            _, first, down = np.unique(K.pair(key, doc.astype(np.uint64)), return_index=True, return_inverse=True)
+            key = w[-1].astype(np.uint64)
+            first, down = _distinct(K.pair(K.pair(w[0].astype(np.uint64), key) if len(w) == 2 else key, doc.astype(np.uint64)))
             share = np.bincount(down, gone, len(first)).astype(np.int64)
             w, doc, row = [x[first] for x in w], doc[first], down[row]
         else:
             w = w[1:]
-    known = w[0].view(np.int64) >= 0
-    n = np.zeros(len(known), np.int64)
-    n[known] = m.words.values(m.uni, w[0][known].astype(np.int64), 5)[:, 0]
+    n = seen[w[0], 0]
     total, left, d1 = float(info["total"]), info["left"], d[0]
     if share is not None:
         total = total - np.bincount(doc, share)[doc]
