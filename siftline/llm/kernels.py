@@ -16,6 +16,9 @@ with np.errstate(over="ignore"):
     for _i in range(1, 4096):
         _POW[_i] = _POW[_i - 1] * U(0x9E3779B97F4A7C15)
 
+#: Masks of the first 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 #: Bytes of a word between ASCII white space.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -80,15 +83,30 @@ def tokens(b: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarr
 
 
 def token_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each token's bytes."""
+    """64-bit hash of each token's bytes: eight at a time, or byte by byte for tokens beyond 64."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    s0 = int(starts[0])
-    span = np.diff(starts, append=len(b))
-    where = np.arange(s0, len(b)) - np.repeat(starts, span)
-    v = _BYTE[b[s0:]] * _POW[where & 4095]
-    v[where >= np.repeat(ends - starts, span)] = 0
-    return mix(np.add.reduceat(v, starts - s0) ^ ((ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+    size = (ends - starts).astype(np.uint64)
+    out = size * U(0xD6E8FEB86659FD93)
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    eight = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+    at, left, rows = starts, size, slice(None)
+    for _ in range(8):
+        word = eight[at]
+        word &= _LOW[np.minimum(left, U(8)).view(np.int64)]
+        out[rows] = mix((out[rows] ^ word) * U(0x9E3779B97F4A7C15))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        rows = more if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - U(8)
+    for r in rows.tolist():
+        t = b[starts[r] : ends[r]]
+        v = _BYTE[t]
+        v *= np.resize(_POW, len(t))
+        out[r] = mix(np.add.reduce(v)[None] ^ (size[r : r + 1] * U(0xD6E8FEB86659FD93)))[0]
+    return out
 
 
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).astype(np.uint8).copy().view("<u8")[:, 0].copy()

@@ -170,19 +170,21 @@ def _discounted(table: DataFrame) -> DataFrame:
     return table.join(per, F.col("grp").eqNullSafe(F.col("g"))).withColumn("d", at).select("grp", "gram", "n", "d")
 
 
-def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
+def estimate(top: DataFrame, order: int = ORDER, held: list[DataFrame] | None = None) -> DataFrame:
     """Counts of the highest order → (grp, size, gram, p, rest).
 
     ``p`` is the interpolated probability of the n-gram's last byte after the
     others; ``rest`` the weight of shorter contexts after it (null unless it
-    occurs as a context).
+    occurs as a context). Written tables that it reads are added to ``held``.
     """
+    held = [] if held is None else held
     tables = {order: top}
     for k in range(order - 1, 0, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
         tables[k] = tables[k + 1].groupBy("grp", low.alias("gram")).agg(F.count("*").alias("n"))
         if k <= order - 1:
             tables[k] = cut(tables[k], f"order{k}")
+            held.append(tables[k])
     shorter, out = None, []
     for k in range(1, order + 1):
         t = _discounted(tables[k]).withColumn("ctx", F.shiftright("gram", 8))
@@ -197,6 +199,7 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
             t = t.join(s, F.col("grp").eqNullSafe(F.col("sg")) & (low == F.col("sk")))
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("q")
         shorter = cut(t.select("grp", F.lit(k).alias("size"), "gram", p.alias("p")), f"p{k}")
+        held.append(shorter)
         out.append((shorter, ctx.select("cg", "cc", F.col("rest").alias("rest"))))
     model = None
     for k, (probs, _) in enumerate(out, 1):
@@ -403,9 +406,10 @@ def train(docs: DataFrame, text_col: str = "text", group_col: str | None = None,
     n = top.count()
     if not n:
         return None
-    model = estimate(top, order)
-    folder = store(model, 2 * n)
-    drop(top)
+    held = [top]
+    folder = store(estimate(top, order, held), 2 * n)
+    for table in held:
+        drop(table)
     release(docs.sparkSession)
     return folder
 

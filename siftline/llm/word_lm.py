@@ -54,10 +54,12 @@ START, END = K.U(0x5354415254), K.U(0x454E44)
 SPELLED = np.log(257.0)
 #: Bytes of text a run of counting, of scoring, a bucket of n-grams and a shard of the vocabulary.
 _RUN, _PIECE, _BUCKET, _SHARD = 4 << 20, 4 << 20, 8 << 20, 64 << 20
+#: Distinct pairs that a task adds up before it sends them.
+_HELD = 1 << 20
 _BLOB = "bucket int, size long, data binary"
 
 
-def _enc(arrays: list[np.ndarray]) -> tuple[int, bytes]:
+def _enc(arrays: list[np.ndarray], level: int = 1) -> tuple[int, bytes]:
     """Unsigned integers of equal length as compressed byte planes, differences in the first; the inverse is :func:`_dec`."""
     head, body = [len(arrays), len(arrays[0])], []
     for k, x in enumerate(arrays):
@@ -68,7 +70,7 @@ def _enc(arrays: list[np.ndarray]) -> tuple[int, bytes]:
         head.append(width)
         body.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
     raw = np.array(head, np.int64).tobytes() + b"".join(body)
-    return len(raw), pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return len(raw), pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _dec(size: int, data: bytes) -> list[np.ndarray]:
@@ -88,11 +90,11 @@ def _blobs(rows: list[tuple[int, int, bytes]]):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "size", "data"])
 
 
-def _split(bucket: np.ndarray, arrays: list[np.ndarray]):
+def _split(bucket: np.ndarray, arrays: list[np.ndarray], level: int = 1):
     """Arrays sorted by bucket → a blob for each bucket."""
     if len(bucket):
         cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-        yield _blobs([(int(bucket[s]), *_enc([x[s:e] for x in arrays])) for s, e in zip(cuts[:-1], cuts[1:])])
+        yield _blobs([(int(bucket[s]), *_enc([x[s:e] for x in arrays], level)) for s, e in zip(cuts[:-1], cuts[1:])])
 
 
 def _gathered(batches):
@@ -282,22 +284,34 @@ def _count(folder: str, order: int, buckets: int):
 
     def run(batches):
         np.seterr(over="ignore")
-        words = Words(folder)
+        words, held = Words(folder), []
+
+        def merged():
+            a, b, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            rows, n = _merged(a, b, n)
+            a, b = a[rows], b[rows]
+            to = _bucket(K.pair(a.astype(np.uint64), b.astype(np.uint64)), buckets)
+            o = np.argsort(to.astype(np.uint16) if buckets < 1 << 16 else to, kind="stable")
+            return _split(to[o], [a[o], b[o], n[o]], 3)
+
         for batch in batches:
-            for _, salt, _, h, _, at in _texts(batch, _RUN):
+            for _, salt, _, h, _, at in _texts(batch, _RUN // 2 if order == 2 else _RUN):
                 ids, w = _grams(words, h, at, salt, order)
                 w = [ids[x] for x in w]
                 first, code = _code(w[0], w[1])
+                if order == 2:
+                    held.append((w[0][first], w[1][first], np.bincount(code, minlength=len(first))))
+                    if sum(len(x[0]) for x in held) > _HELD:
+                        yield from merged()
+                    continue
                 b = _bucket(K.pair(w[0][first].astype(np.uint64), w[1][first].astype(np.uint64)), buckets)
                 rank = np.empty(len(first), np.int64)
                 rank[np.argsort(b, kind="stable")] = np.arange(len(first))
-                if order == 2:
-                    inv = np.argsort(rank)
-                    n = np.bincount(code, minlength=len(first))[inv]
-                    yield from _split(b[inv], [w[0][first][inv], w[1][first][inv], n])
-                else:
-                    rows, n = _merged(rank[code], w[2], np.ones(len(code)))
-                    yield from _split(b[code[rows]], [w[0][rows], w[1][rows], w[2][rows], n])
+                rows, n = _merged(rank[code], w[2], np.ones(len(code)))
+                yield from _split(b[code[rows]], [w[0][rows], w[1][rows], w[2][rows], n])
+        if held:
+            yield from merged()
 
     return run
 
@@ -558,7 +572,7 @@ def _score(folder: str, leave_out: bool, counted: bool):
         m = Model.at(folder)
         for batch in batches:
             total, n = np.zeros(batch.num_rows), pa.compute.binary_length(batch.column("text")).fill_null(-1).to_numpy().astype(np.int64) + 1
-            for name, salt, rows, h, size, at in _texts(batch, _PIECE):
+            for name, salt, rows, h, size, at in _texts(batch, _PIECE // 2 if leave_out else _PIECE):
                 total[rows] = np.add.reduceat(_piece(m, name, salt, h, size, at, leave_out, counted), at[:-1])
             out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(n), pa.array(total)], names=["id", "grp", "n", "log_p"])
             yield out.filter(pa.array(n > 0))
