@@ -117,7 +117,7 @@ def match_words(table: DataFrame, pattern: str, algorithm: str = "levenshtein",
     """Rows whose word is near the pattern, with distance and similarity; one comparison a distinct word."""
     p = F.lit(pattern.lower())
     one = table.select(col).distinct().withColumn("w", F.lower(col))
-    if algorithm == "levenshtein":  # most words differ too much in length
+    if algorithm in ("levenshtein", "damerau_levenshtein"):  # most words differ too much in length
         one = one.where(F.abs(F.length("w") - len(pattern)) <= max_distance)
     s = similarity(F.col("w"), p, algorithm)
     one = one.withColumn("similarity", s)
@@ -144,7 +144,11 @@ def match_words_any(table: DataFrame, pattern: str, algorithms: tuple = ALGORITH
 def suggest(dictionary: DataFrame, word: str, limit: int = 5, algorithm: str = "damerau_levenshtein", col: str = "word") -> DataFrame:
     """(word, similarity): the nearest words of similarity above 0.3."""
     s = similarity(F.lower(col), F.lit(word.lower()), algorithm)
-    return dictionary.select(col).distinct().withColumn("similarity", s).where("similarity > 0.3").orderBy(F.desc("similarity"), col).limit(limit)
+    one = dictionary.select(col).distinct()
+    if algorithm in ("levenshtein", "damerau_levenshtein"):  # the distance is at least the difference in length
+        short, long = F.least(F.length(col), F.lit(len(word))), F.greatest(F.length(col), F.lit(len(word)))
+        one = one.where(short > 0.3 * long)
+    return one.withColumn("similarity", s).where("similarity > 0.3").orderBy(F.desc("similarity"), col).limit(limit)
 
 
 _ALIKE = "a@4 e3 i1l! o0 s5$z t7+ l1i! g9q b6 ck kc fph vw wv yi zs xks".split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of each concept, one regex a line; a space separates alternatives.
@@ -93,6 +93,22 @@ def similar(weights: DataFrame, query: DataFrame, id_col: str = "doc_id") -> Dat
     return d.where("d is not null").crossJoin(F.broadcast(qn)).select(id_col, (F.col("d") / (F.col("n") * F.col("qn"))).alias("score"))
 
 
+def similar_each(weights: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, score, rank): the k best cosines of each query document, whose own id is left out.
+
+    ``queries`` are rows of ``weights``. Products are added up by (query,
+    document) before the shuffle. Ties at nine decimals go to the lesser id;
+    documents that share no weighted token with a query have no row.
+    """
+    q = queries.select(F.col(id_col).alias("query_id"), "token", F.col("weight").alias("q"))
+    norm = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
+    d = weights.join(q, "token").where(F.col(id_col) != F.col("query_id")).groupBy("query_id", id_col).agg(F.sum(F.col("weight") * F.col("q")).alias("d"))
+    d = d.join(norm, id_col).join(norm.select(F.col(id_col).alias("query_id"), F.col("n").alias("qn")), "query_id")
+    s = d.select("query_id", id_col, (F.col("d") / (F.col("n") * F.col("qn"))).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def query_vector(weights_idf: DataFrame, query: str) -> DataFrame:
     """(token, weight) of a query text under a corpus' idf."""
     words = [w for w in re.findall(r"\w{3,}", query.lower())]
@@ -124,7 +140,7 @@ _CONCEPT_LINES = (
 def extract_concepts(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, line_no, kind, name, confidence) of definitions, imports, assignments and comments."""
     found = F.filter(
-        F.array(*(F.struct(F.lit(kind).alias("kind"), F.substring(F.regexp_extract("line", rx, 1), 1, 50).alias("name"), F.lit(c).alias("confidence")) for kind, rx, c in _CONCEPT_LINES)),
+        F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", rx, 1).alias("name"), F.lit(c).alias("confidence")) for kind, rx, c in _CONCEPT_LINES)),
         lambda x: x["name"] != "",
     )
     return lines.select(id_col, "line_no", F.explode(found).alias("c")).select(id_col, "line_no", "c.*")

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, hash_col: str) -> DataFrame:
-    """(key, action): added, removed or changed between two listings."""
-    o = old.select(F.col(key).alias("__ok"), F.col(hash_col).alias("__oh"))
-    n = new.select(F.col(key).alias("__nk"), F.col(hash_col).alias("__nh"))
-    j = n.join(o, F.col("__nk") == F.col("__ok"), "full").where(~F.col("__oh").eqNullSafe(F.col("__nh")))
-    action = F.when(F.col("__ok").isNull(), "added").when(F.col("__nk").isNull(), "removed").otherwise("changed")
+    """(key, action): added, removed or changed between two listings.
+
+    A null hash is a hash of its own. A null key is in no listing. A key that
+    occurs twice in a listing gives a row for each pair that differs. Empty
+    listings: everything was added, or removed.
+    """
+    o = old.select(F.col(key).alias("__ok"), F.col(hash_col).alias("__oh")).where("__ok is not null")
+    n = new.select(F.col(key).alias("__nk"), F.col(hash_col).alias("__nh")).where("__nk is not null")
+    gone, came = F.col("__nk").isNull(), F.col("__ok").isNull()
+    j = n.join(o, F.col("__nk") == F.col("__ok"), "full").where(gone | came | ~F.col("__oh").eqNullSafe(F.col("__nh")))
+    action = F.when(came, "added").when(gone, "removed").otherwise("changed")
     return j.select(F.coalesce("__nk", "__ok").alias(key), action.alias("action"))
 
 
 def latest(catalogue: DataFrame, key: str = "path", by: str = "last_updated") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(by))
+    """The last row of each key; of rows of one time, the greatest by the other columns in their order. A null time comes first, a null key is a key."""
+    others = [F.desc(f"`{f.name}`") for f in catalogue.schema.fields if f.name not in (key, by) and f.dataType.typeName() != "map"]
+    w = Window.partitionBy(key).orderBy(F.desc(by), *others)
     return catalogue.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
@@ -24,12 +32,15 @@ def refresh(saved: DataFrame, current: DataFrame, cached: DataFrame, tags: DataF
     """(path, hash, action) that bring a tag up to date.
 
     New or changed contents are computed, or tagged where another tag has them;
-    gone ones lose the tag, or are deleted where no other row uses them.
+    gone ones lose the tag, or are deleted where no other row uses them. A null
+    hash is a hash of its own that nothing has cached; null paths are left out.
     """
-    s = latest(saved).select(F.col("path").alias("sp"), F.col("hash").alias("sh"))
+    s = latest(saved).select(F.col("path").alias("sp"), F.col("hash").alias("sh")).where("sp is not null")
     uses = tags.groupBy(F.col("hash").alias("uh")).agg(F.count("*").alias("uses"))
     have = cached.select(F.col("hash").alias("gh")).distinct()
-    j = current.select("path", "hash").join(s, F.col("path") == F.col("sp"), "full").where(~F.col("hash").eqNullSafe(F.col("sh")))
+    now = current.select("path", "hash").where("path is not null")
+    differs = F.col("path").isNull() | F.col("sp").isNull() | ~F.col("hash").eqNullSafe(F.col("sh"))
+    j = now.join(s, F.col("path") == F.col("sp"), "full").where(differs)
     j = j.join(have, F.col("hash") == F.col("gh"), "left").join(uses, F.col("sh") == F.col("uh"), "left")
     gone = F.col("path").isNull()
     action = F.when(gone & (F.col("uses") > 1), "remove_tag").when(gone, "delete").when(F.col("gh").isNotNull(), "add_tag").otherwise("compute")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import fuzzy, semantic
 from siftline.operators import boolean, chunks, code, collections, graph, history, incremental, metadata, rank, text, vectors
+from siftline.plans.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,10 +71,10 @@ def count_only(t):
     return text.count_only(t("documents"), "and")
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+ing'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+ [a-z]+ing') AND lang = 'en'""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+ing'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+ [a-z]+ing')""")
 def regex_count(t):
     n = F.regexp_count("text", F.lit("[A-Z][a-z]+ [a-z]+ing")).cast("long")
-    return t("documents").where("lang = 'en'").select("doc_id", n.alias("hits")).where("hits > 0")
+    return t("documents").select("doc_id", n.alias("hits")).where("hits > 0")
 
 
 @query(rf"""WITH {_LINES}, h AS (SELECT doc_id, line_no, len(regexp_extract_all(line, '[a-z]+ing[a-z]')) AS n FROM l)
@@ -94,42 +95,42 @@ def metadata_filter(t):
     return d.where(metadata.predicate(min_size=lo, max_size=hi, min_lines=3, language="en")).where(metadata.glob("path", ["src1*"])).select("doc_id", "lang", "source", "n_chars")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE lang = 'en')
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
 SELECT word, levenshtein(lower(word), 'thing')::INTEGER AS distance, round(1 - levenshtein(lower(word), 'thing') / greatest(length(word), 5)::DOUBLE, 9) AS similarity
 FROM w WHERE levenshtein(lower(word), 'thing') <= 2 AND 1 - levenshtein(lower(word), 'thing') / greatest(length(word), 5)::DOUBLE >= 0.6""")
 def fuzzy_levenshtein(t):
-    w = fuzzy.words(t("documents").where("lang = 'en'"), pattern="[A-Za-z]+").select("word").distinct()
+    w = fuzzy.words(t("documents"), pattern="[A-Za-z]+").select("word").distinct()
     return fuzzy.match_words(w, "thing").withColumn("similarity", F.round("similarity", 9))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark)
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
 SELECT word, damerau_levenshtein(lower(word), 'theer')::INTEGER AS distance FROM w WHERE damerau_levenshtein(lower(word), 'theer') <= 2 AND 1 - damerau_levenshtein(lower(word), 'theer') / greatest(length(word), 5)::DOUBLE >= 0.6""")
 def fuzzy_damerau(t):
-    w = fuzzy.words(t("benchmark"), "item_id", pattern="[A-Za-z]+").select("word").distinct()
+    w = fuzzy.words(t("documents"), pattern="[A-Za-z]+").select("word").distinct()
     return fuzzy.match_words(w, "theer", "damerau_levenshtein").select("word", "distance")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark WHERE item_id IS NOT NULL),
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents),
 s AS (SELECT word, 1 - damerau_levenshtein(lower(word), 'thaton') / greatest(length(word), 6)::DOUBLE AS similarity FROM w)
 SELECT word, round(similarity, 9) AS similarity FROM s WHERE similarity > 0.3 ORDER BY s.similarity DESC, word LIMIT 5""")
 def suggest_corrections(t):
-    w = fuzzy.words(t("benchmark"), "item_id", pattern="[A-Za-z]+")
+    w = fuzzy.words(t("documents"), pattern="[A-Za-z]+")
     return fuzzy.suggest(w, "thaton").withColumn("similarity", F.round("similarity", 9))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS u FROM benchmark),
+@query(r"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS u FROM documents),
 d AS (SELECT u, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(substr(u, 2), '[^BFPVCGJKQSXZDTLMNR]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') AS c FROM w)
 SELECT u AS word, substr(substr(u, 1, 1) || c || '000', 1, 4) AS code FROM d""")
 def soundex_codes(t):
-    w = fuzzy.words(t("benchmark"), "item_id", pattern="[A-Za-z]+").select(F.upper("word").alias("word")).distinct()
+    w = fuzzy.words(t("documents"), pattern="[A-Za-z]+").select(F.upper("word").alias("word")).distinct()
     return w.select("word", fuzzy.soundex(F.col("word")).alias("code"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS u FROM benchmark),
+@query(r"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS u FROM documents),
 r AS (SELECT u, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(u, 'PH', 'F'), 'GH', 'F'), 'CK', 'K'), 'SCH', 'SK'), 'QU', 'KW'), 'TH', 'T'), 'SH', 'S'), 'CH', 'K'), 'WH', 'W'), 'X', 'KS') AS m FROM w)
 SELECT u AS word, substr(substr(m, 1, 1) || regexp_replace(substr(m, 2), '[AEIOU]', '', 'g'), 1, 4) AS code FROM r""")
 def metaphone_codes(t):
-    w = fuzzy.words(t("benchmark"), "item_id", pattern="[A-Za-z]+").select(F.upper("word").alias("word")).distinct()
+    w = fuzzy.words(t("documents"), pattern="[A-Za-z]+").select(F.upper("word").alias("word")).distinct()
     return w.select("word", fuzzy.metaphone(F.col("word")).alias("code"))
 
 
@@ -141,25 +142,25 @@ def jaro_winkler_pairs(t):
     )
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM w), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM w GROUP BY token)
 SELECT token, df, round(ln(n / (df + 1)::DOUBLE), 9) AS idf FROM df, n""")
 def tfidf_idf(t):
-    w = semantic.tokens(t("documents").where("lang = 'en'"), pattern="[a-z]{3,}")
+    w = semantic.tokens(t("documents"), pattern="[a-z]{3,}")
     return semantic.idf(w).withColumn("idf", F.round("idf", 9))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM w), df AS (SELECT token, ln((SELECT n FROM n) / (count(DISTINCT doc_id) + 1)::DOUBLE) AS idf FROM w GROUP BY token),
 tf AS (SELECT doc_id, token, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS tf FROM w GROUP BY doc_id, token),
 v AS (SELECT doc_id, token, tf * idf AS x FROM tf JOIN df USING (token) WHERE tf * idf > 0),
 nn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY doc_id),
-q AS (SELECT * FROM v WHERE doc_id = 2), s AS (SELECT v.doc_id, sum(v.x * q.x) AS d FROM v JOIN q USING (token) GROUP BY v.doc_id)
-SELECT s.doc_id, round(d / (nn.n * (SELECT n FROM nn WHERE doc_id = 2)), 6) AS score FROM s JOIN nn USING (doc_id) WHERE s.doc_id <> 2 ORDER BY round(d / (nn.n * (SELECT n FROM nn WHERE doc_id = 2)), 9) DESC, s.doc_id LIMIT 10""")
+s AS (SELECT q.doc_id AS query_id, v.doc_id, sum(v.x * q.x) AS d FROM v JOIN v q USING (token) WHERE q.doc_id % 100 = 0 AND q.doc_id <> v.doc_id GROUP BY ALL),
+c AS (SELECT query_id, s.doc_id, d / (a.n * b.n) AS score FROM s JOIN nn a ON a.doc_id = s.doc_id JOIN nn b ON b.doc_id = query_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10""")
 def tfidf_similar(t):
-    v = semantic.tfidf(semantic.tokens(t("documents").where("lang = 'en'"), pattern="[a-z]{3,}"))
-    s = semantic.similar(v, v.where("doc_id = 2").select("token", "weight"))
-    return s.where("doc_id <> 2").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).withColumn("score", F.round("score", 6))
+    v = cut(semantic.tfidf(cut(semantic.tokens(t("documents"), pattern="[a-z]{3,}"), "tokens")), "tfidf")
+    return semantic.similar_each(v, v.where("doc_id % 100 = 0"), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(r"""SELECT doc_id, round((regexp_matches(text, '(?i)\b(array|csv|data|dataframe|dataset|dict|json|list|xml)\b')::INT + regexp_matches(text, '(?i)\b(deserialize|format|numpy|pandas|parse|serialize)\b')::INT + regexp_matches(text, '(?i)\b(filter|map|process|reduce|transform)\b')::INT) / 3.0::DOUBLE, 9) AS score FROM documents""")
@@ -167,12 +168,10 @@ def concept_score(t):
     return t("documents").select("doc_id", F.round(semantic.concept_score(F.col("text"), "data"), 9).alias("score"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS s FROM documents WHERE n_chars < 400)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE, 9) AS similarity
-FROM w a JOIN w b ON a.doc_id < b.doc_id WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE >= 0.5""")
+@query()
 def jaccard_pairs(t):
-    d = t("documents").where("n_chars < 400").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
-    return rank.similar_pairs(d, "doc_id", "s", 0.5).withColumn("similarity", F.round("similarity", 9))
+    d = t("documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
+    return rank.similar_pairs(d, "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 9))
 
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
@@ -187,12 +186,12 @@ def vector_top_k(t):
     return s.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(10).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.label = 3),
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p WHERE s >= 0.2)
 SELECT query_id, vec_id, round(s, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def vector_batch(t):
     e = t("embeddings")
-    return vectors.batch_top_k(e, e.where("label = 3"), 5, 0.2).withColumn("score", F.round("score", 6))
+    return vectors.batch_top_k(e, e.where("vec_id % 100 = 0"), 5, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT label, count(*) AS n, max(len(embedding))::BIGINT AS dims, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label""")
@@ -286,11 +285,11 @@ def history_deduplicate(t):
     return history.deduplicate(_history(t), 3600.0)
 
 
-_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_partkey % 10 = 0)"
+_EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem)"
 
 
 def _edges(t):
-    li = t("lineitem").where("l_partkey % 10 = 0")
+    li = t("lineitem")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"))
 
 
@@ -340,14 +339,9 @@ def graph_impact(t):
     return graph.impact(e, e.sparkSession.createDataFrame([(10,)], "node long"), 3).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT o_custkey AS source, (o_custkey * 7 + 3) % 50 AS target FROM orders WHERE o_custkey < 100 UNION SELECT o_custkey, o_custkey // 2 FROM orders WHERE o_custkey < 100),
-r AS (SELECT source, target FROM e WHERE source <> target UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source),
-s AS (SELECT a.source AS node, least(a.source, min(a.target)) AS component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source)
-SELECT node, component FROM s""")
+@query()
 def graph_cycles(t):
-    o = t("orders").where("o_custkey < 100").select(F.col("o_custkey").alias("source"))
-    e = o.select("source", ((F.col("source") * 7 + 3) % 50).alias("target")).union(o.select("source", F.floor(F.col("source") / 2)))
-    return graph.cycles(e.distinct())
+    return graph.cycles(_chain(t))
 
 
 @query("""WITH old AS (SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 5 <> 0),

@@ -33,8 +33,8 @@ def debounce(events: DataFrame, within: float = 0.1) -> DataFrame:
 
 
 def last_per_path(batch: DataFrame) -> DataFrame:
-    """The last event of each path wins."""
-    w = Window.partitionBy("path").orderBy(F.desc("ts"))
+    """The last event of each path wins; of events at one time, a deletion yields to what came with it, then the greatest type."""
+    w = Window.partitionBy("path").orderBy(F.desc("ts"), F.col("event_type") == "deleted", F.desc("event_type"))
     return batch.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
