@@ -193,7 +193,7 @@ def _sequence(b: np.ndarray, off: np.ndarray, salt) -> tuple[np.ndarray, ...]:
     h, size = np.full(int(at[-1]), END), np.zeros(int(at[-1]), np.int64)
     inner = np.ones(len(h), bool)
     inner[at[1:] - 1] = False
-    h[inner], size[inner] = K.token_hash(b, starts, ends), ends - starts
+    h[inner], size[inner] = K.word_hash(b, starts, ends), ends - starts
     return K.mix(h ^ salt), size, at
 
 
