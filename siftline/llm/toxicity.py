@@ -260,11 +260,11 @@ def fit(
 ) -> Fit | None:
     some = cut(sampled(docs, labels, id_col, text_col, label_col, sample), "sample")
     counted = some.select(F.col("label").alias("toxic"), "fold", "text").mapInArrow(_frequencies, "word long, fold int, toxic long, other long")
-    t = counted.groupBy("word", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()  # words of a sample of bounded size
+    t = counted.groupBy("word", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()  # words of a sample of bounded size
     words, at = np.unique(t["word"].to_numpy(), return_inverse=True)
     by_fold = np.zeros((2, FOLDS, len(words)))
     for k, c in enumerate(("toxic", "other")):
-        by_fold[k, t["fold"].to_numpy(), at] = t[c].to_numpy(np.float64)
+        by_fold[k, t["fold"].to_numpy(), at] = t[c].to_numpy()
     toxic, other = by_fold.sum(1)
     score = word_scores(toxic, other, prior, chance) if len(words) else np.zeros(0)
     if not (score > drift).any():
