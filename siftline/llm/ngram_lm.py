@@ -40,6 +40,8 @@ ORDER = 5
 START, END = 2, 3
 VOCABULARY = 257
 _SHARD_ROWS = 1 << 21
+#: Bytes of text counted or scored at once.
+_PIECE = 1 << 18
 #: Most groups whose discounts are broadcast.
 _FEW_GROUPS = 10_000
 
@@ -66,7 +68,7 @@ def _grams(b: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.n
 
 
 def _pieces(buf: np.ndarray, off: np.ndarray):
-    for i, j in K.runs(off):
+    for i, j in K.runs(off, _PIECE):
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 

@@ -7,7 +7,9 @@ out of vocabulary: the lowest order falls back to the word's spelling, each byte
 and the word's end with probability 1 / 257.
 
 Counting takes one pass for the vocabulary, whose sorted hashes number the
-words, and one for the n-grams: a task sorts the trigrams of a run of texts and
+words, and one for the n-grams (word pairs: ``_PASSES``, each over its share of
+the buckets, so that the disk holds one share at a time): a task sorts the
+trigrams of a run of texts and
 sends the distinct ones with their counts, as compressed columns of numbers, to
 the bucket of their first two words. There they are added up, and the distinct
 bigrams with the number of their left extensions go on to buckets of their own;
@@ -40,6 +42,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +51,14 @@ from pyspark.sql import functions as F
 
 from siftline.llm import kernels as K
 from siftline.llm.ngram_lm import _by_group, _rows, discounts, group_salt, local_path
-from siftline.plans.scratch import new_path, release
+from siftline.plans.scratch import cut, drop, new_path, release
 
 START, END = K.U(0x5354415254), K.U(0x454E44)
 SPELLED = np.log(257.0)
 #: Bytes of text a run of counting, of scoring, a bucket of n-grams and a shard of the vocabulary.
 _RUN, _PIECE, _BUCKET, _SHARD = 4 << 20, 4 << 20, 8 << 20, 64 << 20
-#: Distinct pairs that a task adds up before it sends them.
-_HELD = 1 << 20
+#: Distinct pairs that a task adds up before it sends them, and passes over the texts that count pairs.
+_HELD, _PASSES = 1 << 19, 2
 _BLOB = "bucket int, size long, data binary"
 
 
@@ -279,8 +282,8 @@ def _merged(code: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return at, np.bincount(inv, n, len(at)).astype(np.int64)
 
 
-def _count(folder: str, order: int, buckets: int):
-    """Texts → blobs of distinct n-grams by the bucket of their leading words (trigrams), or of the pair."""
+def _count(folder: str, order: int, buckets: int, turn: int = 0, turns: int = 1):
+    """Texts → blobs of distinct n-grams by the bucket of their leading words (trigrams), or of the pair; of pairs, those of every ``turns``-th bucket."""
 
     def run(batches):
         np.seterr(over="ignore")
@@ -296,12 +299,14 @@ def _count(folder: str, order: int, buckets: int):
             return _split(to[o], [a[o], b[o], n[o]], 3)
 
         for batch in batches:
-            for _, salt, _, h, _, at in _texts(batch, _RUN // 2 if order == 2 else _RUN):
+            for _, salt, _, h, _, at in _texts(batch, _RUN // 4 if order == 2 else _RUN):
                 ids, w = _grams(words, h, at, salt, order)
                 w = [ids[x] for x in w]
                 first, code = _code(w[0], w[1])
                 if order == 2:
-                    held.append((w[0][first], w[1][first], np.bincount(code, minlength=len(first))))
+                    a, b, n = w[0][first], w[1][first], np.bincount(code, minlength=len(first))
+                    mine = _bucket(K.pair(a.astype(np.uint64), b.astype(np.uint64)), buckets) % turns == turn
+                    held.append((a[mine], b[mine], n[mine]))
                     if sum(len(x[0]) for x in held) > _HELD:
                         yield from merged()
                     continue
@@ -385,15 +390,27 @@ def _bigrams(folder: str):
     return run
 
 
+def _added(words: Words, batches):
+    """(shard, sums of its words) of rows sorted by shard, one blob at a time; a blob has each word once."""
+    now, out = None, None
+    for batch in batches:
+        for shard, size, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "size", "data"))):
+            if shard != now:
+                if out is not None:
+                    yield now, out
+                now, out = shard, np.zeros((len(words.shards[shard].key), 5), np.int64)
+            ids, *cols = _dec(size, data)
+            out[ids.astype(np.int64) - words.base[shard]] += np.stack(cols, 1).astype(np.int64)
+    if out is not None:
+        yield now, out
+
+
 def _unigrams(folder: str):
     """Blobs of a vocabulary shard → its store of left extensions and sums."""
 
     def run(batches):
         words = Words(folder)
-        for shard, (ids, *cols) in _gathered(batches):
-            n = len(words.shards[shard].key)
-            at = ids.astype(np.int64) - words.base[shard]
-            out = np.stack([np.bincount(at, c.astype(np.float64), n).astype(np.int64) for c in cols], 1)
+        for shard, out in _added(words, batches):
             _save(f"{folder}/u-{shard}", np.empty(0, np.uint64), out)
             seen = np.flatnonzero(out[:, 0])
             _tally(folder, 1, shard, words, seen + words.base[shard], out[seen, 0])
@@ -431,10 +448,19 @@ def train(docs: DataFrame, text_col: str = "text", group_col: str | None = None,
     with open(f"{folder}/vocabulary.json", "w") as f:
         json.dump({"bits": bits, "base": base, "groups": groups}, f)
     release(spark)
-    grams = sent(rows.mapInArrow(_count(folder, order, buckets), _BLOB), buckets)
-    if order == 3:
-        grams = sent(grams.mapInArrow(_trigrams(folder, buckets), _BLOB), buckets)
-    sent(grams.mapInArrow(_bigrams(folder), _BLOB), 1 << bits).mapInArrow(_unigrams(folder), "shard int").collect()
+    turns, sums = _PASSES if order == 2 else 1, []
+    for turn in range(turns):
+        grams = sent(rows.mapInArrow(_count(folder, order, buckets, turn, turns), _BLOB), buckets)
+        if order == 3:
+            grams = sent(grams.mapInArrow(_trigrams(folder, buckets), _BLOB), buckets)
+        sums.append(grams.mapInArrow(_bigrams(folder), _BLOB))
+        if turns > 1:
+            sums[turn] = cut(sums[turn], "sums")
+            del grams
+            release(spark)
+    sent(reduce(DataFrame.union, sums), 1 << bits).mapInArrow(_unigrams(folder), "shard int").collect()
+    for table in sums:
+        drop(table)
     release(spark)
     for k in set(range(1 << bits)) - {k for k in range(1 << bits) if os.path.exists(f"{folder}/u-{k}")}:
         _save(f"{folder}/u-{k}", np.empty(0, np.uint64), np.zeros((size.get(k, 0), 5), np.int64))
@@ -572,7 +598,7 @@ def _score(folder: str, leave_out: bool, counted: bool):
         m = Model.at(folder)
         for batch in batches:
             total, n = np.zeros(batch.num_rows), pa.compute.binary_length(batch.column("text")).fill_null(-1).to_numpy().astype(np.int64) + 1
-            for name, salt, rows, h, size, at in _texts(batch, _PIECE // 2 if leave_out else _PIECE):
+            for name, salt, rows, h, size, at in _texts(batch, _PIECE // 4 if leave_out else _PIECE):
                 total[rows] = np.add.reduceat(_piece(m, name, salt, h, size, at, leave_out, counted), at[:-1])
             out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(n), pa.array(total)], names=["id", "grp", "n", "log_p"])
             yield out.filter(pa.array(n > 0))

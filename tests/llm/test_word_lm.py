@@ -1,8 +1,11 @@
+import json
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftline.llm import ngram_lm, queries, word_lm
@@ -128,3 +131,51 @@ def test_op5_leaves_a_document_out(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in queries.op5_perplexity_bands(spark, str(tmp_path)).collect()}
     assert not kept & set(range(1000, 1005)) and len(kept) >= 148
+
+
+def _blobs_of(batches):
+    return [(b, *word_lm._dec(size, data)) for batch in batches for b, size, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "size", "data")))]
+
+
+def test_passes_share_the_pairs(tmp_path, monkeypatch):
+    monkeypatch.setattr(word_lm, "_HELD", 300)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 80)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array(texts)], names=["grp", "text"])
+    blobs = [x for x in word_lm._vocabulary(0, ["en"])([batch])]
+    list(word_lm._number(str(tmp_path))(blobs))
+    (tmp_path / "vocabulary.json").write_text(json.dumps({"bits": 0, "base": [0], "groups": ["en"]}))
+    counted = []
+    for turn in range(2):
+        got = _blobs_of(word_lm._count(str(tmp_path), 2, 6, turn, 2)([batch]))
+        assert got and all(b % 2 == turn for b, *_ in got)
+        counted.append(Counter({}))
+        for _, a, b, n in got:
+            for x, y, k in zip(a.tolist(), b.tolist(), n.tolist()):
+                counted[-1][x, y] += k
+    assert not set(counted[0]) & set(counted[1])
+    assert sum(counted[0].values()) + sum(counted[1].values()) == 40 * 81
+    words = word_lm.Words(str(tmp_path))
+    salt = word_lm.K.U(word_lm.group_salt("en"))
+    want = Counter()
+    for t in texts:
+        with np.errstate(over="ignore"):
+            h = word_lm._sequence(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), salt)[0]
+            row = np.r_[word_lm.K.mix(word_lm.START ^ salt), h]
+        ids = [int(words.ids(np.array([x], np.uint64))[0]) for x in row]
+        want.update(zip(ids, ids[1:]))
+    assert counted[0] + counted[1] == want
+
+
+def test_sums_of_a_shard_need_memory_for_one_blob(tmp_path):
+    n, times = 20_000, 60
+    word_lm._save(f"{tmp_path}/v-0", np.arange(n), np.zeros((n, 1), np.int64))
+    (tmp_path / "vocabulary.json").write_text(json.dumps({"bits": 0, "base": [0], "groups": ["en"]}))
+    blobs = [next(word_lm._split(np.zeros(n, np.int32), [np.arange(n), *([np.ones(n)] * 5)])) for _ in range(times)]
+    tracemalloc.start()
+    try:
+        assert len(list(word_lm._unigrams(str(tmp_path))(blobs))) == 1
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+    assert (word_lm.Store(f"{tmp_path}/u-0").values(np.arange(n)) == times).all()
