@@ -12,7 +12,9 @@ further; at depth 0 the shard is not opened at all.
 A task answers one shard's vectors as queries: first among themselves, then
 against the other shards in order of their bounds, so the k-th score is high
 early. Queries whose bound falls early score just the vectors seen; those that
-have to read so deep that the lists cover the shard score all of it at once.
+have to read so deep that the lists cover the shard score all of it at once, in
+single precision first, and in double precision what comes within its rounding
+of their k-th score.
 
 Cases: a null vector, one with a null, NaN or infinite coordinate, of length 0
 or of another length than most rows have, is neither query nor result. Rows
@@ -37,6 +39,8 @@ from siftline.plans.scratch import cut, new_path
 KTOP, SHARD = 10, 1024
 _DIGITS = 10**9
 _NULL = np.iinfo(np.int64).max
+#: Twice the rounding of single precision; of a product of unit vectors, d + 2 roundings at most.
+_ROUNDED = 2.0**-23
 
 
 def _save(path: str, x: np.ndarray) -> None:
@@ -100,6 +104,19 @@ class _Top:
     def kth(self) -> np.ndarray:
         return self.score[:, -1]
 
+    def add_some(self, rows: np.ndarray, i: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs of row ``rows[i]`` and an id, sorted by i."""
+        good = score >= self.kth()[rows[i]]
+        i, score, ids = i[good], score[good], ids[good]
+        if not len(i):
+            return
+        hit, first, count = np.unique(i, return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(hit)), count), np.arange(len(i)) - np.repeat(first, count)
+        s = np.full((len(hit), int(count.max())), -(2**62), np.int64)
+        v = np.full(s.shape, _NULL, np.int64)
+        s[at], v[at] = score, ids
+        self.add(rows[hit], s, v)
+
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         s = np.concatenate([self.score[rows], score], 1)
         i = np.concatenate([self.id[rows], ids], 1)
@@ -107,6 +124,15 @@ class _Top:
         self.score[rows], self.id[rows] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
 
 
+def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Scores of the pairs (query, vector)."""
+    out, step = np.empty(len(i), np.int64), max(1, (1 << 20) // x.shape[1])
+    for at in range(0, len(i), step):
+        s = slice(at, at + step)
+        out[s] = np.rint(np.einsum("ij,ij->i", q[i[s]], x[c[s]]) * _DIGITS)
+    return out
+
+
 def search_shard(q: np.ndarray, top: _Top, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, rows: np.ndarray, own: bool = False) -> None:
     """Threshold algorithm of the queries ``rows`` over one shard; ``own``: query r is the shard's r-th vector."""
     n, d = x.shape
@@ -128,8 +154,16 @@ def search_shard(q: np.ndarray, top: _Top, ids: np.ndarray, x: np.ndarray, lists
             score[seen == r] = -(2**62)
         top.add(np.array([r]), score[None], np.where(score == -(2**62), _NULL, ids[seen])[None])
     left = rows[(depth > 0) & deep]
+    short = x.astype(np.float32)
     for at in range(0, len(left), 512):
         r = left[at : at + 512]
+        if not own:
+            near = q[r].astype(np.float32) @ short.T
+            least = np.nextafter((top.kth()[r] / _DIGITS - (d + 8) * _ROUNDED).astype(np.float32), np.float32(-np.inf))
+            i, c = np.divmod(np.flatnonzero(near >= least[:, None]), n)
+            if len(i) <= near.size // 16:
+                top.add_some(r, i, _scores(q, x, r[i], c), ids[c])
+                continue
         score = np.rint((q[r] @ x.T) * _DIGITS).astype(np.int64)
         if own:
             score[np.arange(len(r)), r] = -(2**40)

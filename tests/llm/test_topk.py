@@ -69,3 +69,32 @@ def test_no_neighbours(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     assert topk.top_k(df).count() == 0
     assert topk.top_k(df).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("near", [0.0, 1e-7])
+def test_other_shards_are_ranked_in_single_precision(monkeypatch, near):
+    rng = np.random.default_rng(2)
+    d, n, k = 64, 500, 7
+    x = rng.normal(size=(4 * n, d))
+    if near:  # scores that single precision can't tell apart, in every shard
+        x = x[rng.integers(0, 150, 4 * n)] + near * rng.normal(size=(4 * n, d))
+        x[::50] = x[7]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(4 * n)
+    whole = []
+    real = topk._best
+    monkeypatch.setattr(topk, "_best", lambda keys, k: whole.append(keys.shape) or real(keys, k))
+    top = topk._Top(n, k)
+    for s in range(4):
+        part = slice(s * n, (s + 1) * n)
+        lists = np.argsort(-x[part], axis=0, kind="stable").T.astype(np.int32)
+        topk.search_shard(x[:n], top, ids[part], x[part], lists, np.arange(n), own=s == 0)
+        if s == 0:
+            first = len(whole)
+    score = np.rint(np.einsum("ij,kj->ik", x[:n], x) * 1e9).astype(np.int64)
+    score[np.arange(n), np.arange(n)] = -(2**62)
+    want = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+    assert (np.abs(top.score - np.take_along_axis(score, want, 1)) <= 1).all()
+    if not near:
+        assert (top.id == ids[want]).all()
+        assert len(whole) == first  # after the own shard, no shard is ranked whole
