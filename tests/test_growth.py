@@ -24,7 +24,7 @@ def test_copies_are_no_pairs_until_the_end(spark):
     assert [tuple(r) for r in pairs.collect()] == [(0, 503, 0.75)]
 
 
-def test_pairs_with_copies(spark):
+def test_pairs_and_clusters_with_copies(spark):
     texts = _near(random.Random(4))
     df = spark.createDataFrame(sorted(texts.items(), reverse=True), "doc long, t string")
     sets = {k: set(t.split()) for k, t in texts.items()}
@@ -33,3 +33,9 @@ def test_pairs_with_copies(spark):
 
     got = rank.similar_pairs(df.select("doc", F.split("t", " ").alias("s")), "doc", "s", 0.7)
     assert {(r.a, r.b): r.similarity for r in got.collect()} == want
+    seeds, seed = [], {}
+    for i in sorted(sets):
+        seed[i] = next((s for s in seeds if (s, i) in want), i)
+        if seed[i] == i:
+            seeds.append(i)
+    assert {r.id: r.seed for r in rank.clusters(df, "doc", "t", 0.7).collect()} == seed
