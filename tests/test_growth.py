@@ -39,3 +39,33 @@ def test_pairs_and_clusters_with_copies(spark):
         if seed[i] == i:
             seeds.append(i)
     assert {r.id: r.seed for r in rank.clusters(df, "doc", "t", 0.7).collect()} == seed
+
+
+def test_many_queries_are_no_product_of_partitions(spark):
+    """2,500 queries, ties, a zero vector, other lengths, nulls and NaN."""
+    import numpy as np
+
+    from siftline.operators import vectors
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=4)]) for k in range(2500)]
+    for k in range(0, 60, 2):
+        rows[k + 1] = (k + 1, rows[k][1])
+    rows += [(2500, [0.0] * 4), (2501, [1.0, 2.0]), (2502, [2.0, 4.0]), (2503, [1.0, None, 1.0, 1.0]), (2504, None), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vectors.batch_top_k(df, df, 3, 0.0)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    x = np.array([v for _, v in rows[:2501]])
+    n = np.sqrt((x * x).sum(1))
+    s = np.divide(x @ x.T, n[:, None] * n, out=np.zeros((2501, 2501)), where=(n[:, None] * n) > 0).round(12)
+    for q in range(2501):
+        best = sorted((-s[q, k], k) for k in np.argsort(-s[q], kind="stable")[:40] if k != q and s[q, k] >= 0)[:3]
+        if q < 2500:
+            assert [found[q][i + 1][0] for i in range(3)] == [k for _, k in best]
+    assert [found[2500][i][0] for i in (1, 2, 3)] == [0, 1, 2] and found[2501][1][0] == 2502 and len(found[2501]) == 1
+    assert not {2503, 2504, None} & (set(found) | {k for v in found.values() for k, _ in v.values()})
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in vectors.batch_top_k(odd, odd.where("vec_id = 1"), 2).orderBy("rank").collect()] == [2, 3]
