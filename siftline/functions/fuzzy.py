@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,16 +60,72 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * (1 - jaro) / 10
 
 
+#: Cells of the distance tables that are filled at a time.
+_CELLS = 1 << 22
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points, a row a word, 0 beyond its end."""
+    x = np.array(words, dtype=np.str_)
+    return x.view(np.uint32).reshape(len(words), -1) if x.dtype.itemsize else np.zeros((len(words), 0), np.uint32)
+
+
+def damerau_all(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`damerau` of each pair; the tables of many pairs are filled cell by cell together."""
+    la, lb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    out, order, at = np.empty(len(a), np.int32), np.lexsort((lb, la)), 0
+    while at < len(order):
+        size, cells = 1, (la[order[at]] + 2) * (lb[order[at]] + 2)
+        if cells > _CELLS // 4:
+            out[order[at]] = damerau(a[order[at]], b[order[at]])
+            at += 1
+            continue
+        size = max(1, _CELLS // max(cells, 64))
+        who = order[at : at + size]
+        while (m := (la[who].max() + 2) * (lb[who].max() + 2) * len(who)) > 2 * _CELLS and len(who) > 1:
+            who = who[: max(1, len(who) // 2)]
+        at += len(who)
+        x, y = _letters([a[i] for i in who]), _letters([b[i] for i in who])
+        n, w, h = len(who), x.shape[1], y.shape[1]
+        far, each = la[who] + lb[who], np.arange(n)
+        d = np.empty((w + 2, h + 2, n), np.int32)
+        d[:] = far
+        d[1:, 1] = np.arange(w + 1)[:, None]
+        d[1, 1:] = np.arange(h + 1)[:, None]
+        last = np.zeros((h, n), np.int32)  # the last row with the letter of each column
+        for i in range(1, w + 1):
+            seen = np.zeros(n, np.int32)
+            for j in range(1, h + 1):
+                same, k = x[:, i - 1] == y[:, j - 1], last[j - 1]
+                swap = d[k, seen, each] + (i - k - 1) + 1 + (j - seen - 1)
+                step = np.minimum(d[i + 1, j], d[i, j + 1]) + 1
+                d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same, step), swap)
+                seen[same] = j
+            for j in range(1, h + 1):
+                last[j - 1][x[:, i - 1] == y[:, j - 1]] = i
+        out[who] = d[la[who] + 1, lb[who] + 1, each]
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
-def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b)], dtype="Int64")
+def _damerau(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(a), dtype="Int64")
+    some = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    if len(some):
+        out.iloc[some] = damerau_all(a.iloc[some].tolist(), b.iloc[some].tolist())
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
-def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)])
 
 
+# Else Spark would call them below a distinct, on every occurrence of a word, and again for each use of the result.
+damerau_levenshtein = _damerau.asNondeterministic()
+jaro_winkler_similarity = _jaro_winkler.asNondeterministic()
+
+
 _CODES = {"1": "BFPV", "2": "CGJKQSXZ", "3": "DT", "4": "L", "5": "MN", "6": "R"}
 
 
@@ -119,11 +176,12 @@ def match_words(table: DataFrame, pattern: str, algorithm: str = "levenshtein",
     one = table.select(col).distinct().withColumn("w", F.lower(col))
     if algorithm in ("levenshtein", "damerau_levenshtein"):  # most words differ too much in length
         one = one.where(F.abs(F.length("w") - len(pattern)) <= max_distance)
-    s = similarity(F.col("w"), p, algorithm)
-    one = one.withColumn("similarity", s)
     if algorithm in ("levenshtein", "damerau_levenshtein"):
+        longer = F.greatest(F.length("w"), F.length(p))
         one = one.withColumn("distance", distance(F.col("w"), p, algorithm)).where(F.col("distance") <= max_distance)
+        one = one.withColumn("similarity", F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.col("distance") / longer))
     else:
+        one = one.withColumn("similarity", similarity(F.col("w"), p, algorithm))
         one = one.withColumn("distance", ((1 - F.col("similarity")) * F.greatest(F.length(col), F.lit(len(pattern)))).cast("int"))
     one = one.where(F.col("similarity") >= min_similarity).select(col, "distance", "similarity")
     return table.join(one, col)

@@ -69,3 +69,23 @@ def test_many_queries_are_no_product_of_partitions(spark):
     assert not {2503, 2504, None} & (set(found) | {k for v in found.values() for k, _ in v.values()})
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vectors.batch_top_k(odd, odd.where("vec_id = 1"), 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_distances_all_at_once():
+    from siftline.functions.fuzzy import damerau, damerau_all
+
+    rng = random.Random(1)
+    words = [["".join(rng.choice("abcé😀") for _ in range(rng.randrange(9))) for _ in range(800)] + [w] for w in ("", "ab" * 900)]
+    assert damerau_all(*words).tolist() == [damerau(a, b) for a, b in zip(*words)] and damerau_all([], []).tolist() == []
+
+
+def test_distances_come_after_the_distinct(spark):
+    """A word that occurs often is compared once, for suggestions and for matches."""
+    from siftline.functions import fuzzy
+
+    words = spark.createDataFrame([("thing",), ("thign",), ("other",)] * 40, "word string")
+    for got in (fuzzy.suggest(words, "thing"), fuzzy.match_words(words.distinct(), "thing", "damerau_levenshtein")):
+        plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        calls = [k for k, x in enumerate(plan) if "EvalPython" in x]
+        assert len(calls) == 1 and any("Aggregate" in x for x in plan[calls[0] :])
+        assert {r.word for r in got.collect()} >= {"thing", "thign"}
