@@ -89,3 +89,33 @@ def test_distances_come_after_the_distinct(spark):
         calls = [k for k, x in enumerate(plan) if "EvalPython" in x]
         assert len(calls) == 1 and any("Aggregate" in x for x in plan[calls[0] :])
         assert {r.word for r in got.collect()} >= {"thing", "thign"}
+
+
+def test_cosines_shuffle_no_tokens(spark):
+    """TF-IDF of rows where the text lies: no exchange of (document, token) rows, whole results, repeated ids merged."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from siftline.functions import semantic
+
+    rng = random.Random(3)
+    docs = {k: [f"w{min(rng.randrange(1, 60), rng.randrange(1, 60)):02d}" for _ in range(rng.randrange(1, 30))] for k in range(230)}
+    docs[7] = docs[100] = docs[0]
+    rows = [(k, " ".join(w)) for k, w in docs.items()] + [(7, ""), (500, None), (501, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n, freq = len(docs), Counter(w for d in docs.values() for w in set(d))
+    vec = {k: {w: x for w, c in Counter(d).items() if (x := c / len(d) * math.log(n / (freq[w] + 1))) > 0} for k, d in docs.items()}
+    norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in vec.items()}
+    out = semantic.tfidf_similar(df, F.col("id") % 100 == 0, 5)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
+    for q in (0, 100, 200):
+        s = {k: sum(x * vec[q].get(w, 0) for w, x in v.items()) / (norm[k] * norm[q]) for k, v in vec.items() if k != q and norm[k]}
+        best = sorted((k for k in s if s[k] > 0), key=lambda k: (-round(s[k], 9), k))[:5]
+        assert [got[q, i + 1][0] for i in range(5)] == best and all(abs(got[q, i + 1][1] - s[k]) < 1e-12 for i, k in enumerate(best))
+    cos = {r.doc_id: r.cos for r in semantic.query_cosines(df, "w05 w09 absent w05").collect()}
+    old = semantic.tokens(df)
+    want = {r.doc_id: r.score for r in semantic.similar(semantic.tfidf(old), semantic.query_vector(semantic.idf(old), "w05 w09 absent w05")).collect()}
+    assert cos.keys() == want.keys() and all(abs(cos[k] - want[k]) < 1e-12 for k in want)
