@@ -309,8 +309,7 @@ def semantic_search(corpus: DataFrame, query: str, threshold: float = 0.1, limit
     words = re.findall(r"\w+", query.lower()) or [query]
     share = reduce(F.greatest, [concept_score(F.col(text_col), w) for w in words], F.lit(0.0)) if len(words) > 1 else concept_score(F.col(text_col), words[0])
     base = corpus.select(id_col, share.alias("share"))
-    counts = tokens(corpus, id_col, text_col)
-    cos = similar(tfidf(counts, id_col), query_vector(idf(counts, id_col), query), id_col).withColumnRenamed("score", "cos")
+    cos = query_cosines(corpus, query, id_col, text_col)
     named = concept_similarity(extract_concepts(lines(corpus, id_col, text_col), id_col), query, id_col).withColumnRenamed("score", "named")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     s = base.join(cos, id_col, "left").join(named, id_col, "left").select(id_col, (0.5 * zero("share") + 0.3 * zero("cos") + 0.2 * zero("named")).alias("score"))
